@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe_encode_decode
 from .fingerprints import op7_fingerprints
+from .jaccard import op6_jaccard_join
 from .language import op5_language_id
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op10_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scans": op3_secret_scans,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
