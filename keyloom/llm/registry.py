@@ -10,6 +10,7 @@ from .bpe import op1_bpe_encode_decode
 from .fingerprints import op7_fingerprints
 from .jaccard import op6_jaccard_join
 from .language import op5_language_id
+from .licenses import op8_license_scan
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .packing import op10_packing
 from .quality import op2_quality_rules
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_fingerprints": op7_fingerprints,
+    "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }

@@ -78,12 +78,6 @@ def spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(rule.hint), F.aggregate(parts(text, rule), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def redacted(text: Column, rule: Rule) -> Column:
-    """The text with every span of a rule replaced by [kind]. Null stays null."""
-    put = lambda x: F.concat(x["gap"], F.when(x["found"], F.lit(f"[{rule.kind}]")).otherwise(F.coalesce(x["match"], F.lit(""))))
-    return F.when(text.rlike(rule.hint), F.array_join(F.transform(parts(text, rule), put), "")).otherwise(text)
-
-
 def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], f"blob binary, rule string, spans {SPAN}")
 
@@ -124,12 +118,21 @@ def joined(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with secrets in text replaced, one rule after the other; all columns and rows stay."""
+def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every span of the ledger in text replaced by its [kind]; overlapping spans by that of the first.
+
+    All columns and rows stay; null text stays null."""
+    hits = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).distinct()
+    hits = written(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     text = F.col("text")
-    for r in rules:
-        text = redacted(text, r)
-    return docs.withColumn("text", text)
+
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"))
+
+    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = docs.withColumn("blob", F.unhex(F.sha2(text, 256))).join(hits, "blob", "left")
+    return out.select(*[F.when(F.col("spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
