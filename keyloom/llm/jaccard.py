@@ -271,7 +271,7 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = found.join(found.groupBy("block").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1"), "block")
     found = written(found.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks").cast("long")).cast("int")).drop("n", "n_shingles"))
     # The texts of one document of each class in a block; then to one task for each block, or pair of its chunks.
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text").join(found, "doc")
+    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text").join(found.hint("merge"), "doc")
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
     dealt = texts.select("block", "chunks", "chunk", "doc", "key", "text", F.explode(pair).alias("p")).select("block", "p.i", "p.j", "chunks", "chunk", "doc", "key", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -324,7 +324,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     found = classes(docs, words, percent)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = written(found.where(same).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    out = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in docs.columns], "copies")
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in docs.columns], "copies")
     if kept.where("copies > 1").isEmpty():
         return out.drop("copies")
     return out.where("copies = 1").unionByName(out.where("copies > 1").dropDuplicates(["doc_id", "text"])).drop("copies")
