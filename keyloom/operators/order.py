@@ -47,11 +47,11 @@ def running(df: DataFrame, order: str, values: dict[str, Running], n: int | None
     before, after = (W.orderBy("_bucket").rowsBetween(*x) for x in ((W.unboundedPreceding, -1), (1, W.unboundedFollowing)))
     carried = parts.select("_bucket", *[_TOTAL[v.kind](f"_p_{name}").over(after if v.after else before).alias(f"_c_{name}") for name, v in values.items()])
     own = own.join(F.broadcast(carried), "_bucket")
-    within = W.partitionBy("_bucket").orderBy(order)
+    # Rows after a row are rows before it in reverse order: a growing frame is linear, a shrinking one quadratic.
+    forth, back = (W.partitionBy("_bucket").orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col(order).asc(), F.col(order).desc()))
     out = {}
     for name, v in values.items():
-        frame = within.rowsBetween(1, W.unboundedFollowing) if v.after else within.rowsBetween(W.unboundedPreceding, -1)
-        here, there = _AGG[v.kind](v.value).over(frame), F.col(f"_c_{name}")
+        here, there = _AGG[v.kind](v.value).over(back if v.after else forth), F.col(f"_c_{name}")
         if v.kind in ("count", "sum"):
             out[name] = F.coalesce(here, F.lit(0)) + F.coalesce(there, F.lit(0))
         else:
