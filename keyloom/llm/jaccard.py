@@ -323,11 +323,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     a word stay. Of rows equal in doc_id and text one stays; of rows that only share a doc_id each class's first."""
     found = classes(docs, words, percent)
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = written(found.where(same).groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")))
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"])).select(*[docs[c] for c in docs.columns], "copies")
-    if kept.where("copies > 1").isEmpty():
-        return out.drop("copies")
-    return out.where("copies = 1").unionByName(out.where("copies > 1").dropDuplicates(["doc_id", "text"])).drop("copies")
+    kept = written(found.where(same).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kl_copies")).withColumnRenamed("doc_id", "_kl_id"))
+    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kl_id"])).drop("_kl_id")
+    if kept.where("_kl_copies > 1").isEmpty():
+        return out.drop("_kl_copies")
+    return out.where("_kl_copies = 1").unionByName(out.where("_kl_copies > 1").dropDuplicates(["doc_id", "text"])).drop("_kl_copies")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
