@@ -75,7 +75,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     # A chunk that a third of all documents hold makes one left row set that Spark can split: the join is plain.
     marks = found.join(twice, "key").select("doc", "row", "first", "last", "key", F.col("one").eqNullSafe(place).alias("keeps"))
     by_doc = marks.groupBy("doc", "row").agg(F.collect_set(F.struct("first", "last", "key", "keeps")).alias("marks"))
-    texts = own.join(by_doc, ["doc", "row"]).select("doc", "row", "text", F.explode("marks").alias("m"))
+    # Never a broadcast: marks grow with the corpus.
+    texts = own.join(by_doc.hint("merge"), ["doc", "row"]).select("doc", "row", "text", F.explode("marks").alias("m"))
     texts = written(texts.select("doc", "row", "m.*", chunk_text(F.col("text"), F.col("m.first"), F.col("m.last")).alias("chunk")))
     kept = texts.where("keeps").groupBy("key").agg(F.min("chunk").alias("kept"))
     same = texts.where("not keeps").join(kept, "key").where(F.col("chunk") == F.col("kept"))  # the byte comparison
@@ -90,19 +91,20 @@ def _named(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, extra: bool = False) -> DataFrame:
     """docs with repeated chunks cut out of text; with extra also n_lines and n_removed (lines). All rows stay.
 
-    Null text stays null (0 lines). Rows equal in doc_id and text count as one document; of rows with one doc_id and
-    different texts, the one with the lesser hash is first. Other columns are untouched, none may be named doc, row or gone."""
-    gone = written(repeated(docs))
+    Null text stays null (0 lines), no rows give none. Rows equal in doc_id and text count as one document; of rows with one
+    doc_id and different texts, the one with the lesser hash is first. Other columns are untouched, whatever their names."""
+    gone = written(repeated(docs).select(F.col("doc").alias("_kl_doc"), F.col("row").alias("_kl_row"), F.col("gone").alias("_kl_gone")))
 
     def body(lines: Column) -> Column:
-        return F.array_join(F.filter(lines, lambda x, i: ~F.exists("gone", lambda g: (g["first"] <= i) & (i <= g["last"]))), "\n")
-
-    out = _named(docs).join(gone, ["doc", "row"], "left")
-    size = lambda c: F.coalesce(F.size(F.split(c, "\n", -1)), F.lit(0)).cast("long")
-    removed = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["last"] - g["first"] + 1), F.lit(0)).cast("long")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(body(F.split("text", "\n", -1)))
-    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return out.select(*cols, *([F.when(F.col("text").isNull(), F.lit(0)).otherwise(size("text")).cast("long").alias("n_lines"), removed.alias("n_removed")] if extra else []))
+        return F.array_join(F.filter(lines, lambda x, i: ~F.exists("_kl_gone", lambda g: (g["first"] <= i) & (i <= g["last"]))), "\n")
+
+    own = docs.withColumns({"_kl_doc": F.coalesce("doc_id", F.lit(-(2**63))), "_kl_row": F.xxhash64("text")})
+    out = own.join(gone.hint("merge"), ["_kl_doc", "_kl_row"], "left")
+    removed = F.coalesce(F.aggregate("_kl_gone", F.lit(0), lambda a, g: a + g["last"] - g["first"] + 1), F.lit(0)).cast("long")
+    text = F.when(F.col("_kl_gone").isNull(), F.col("text")).otherwise(body(F.split("text", "\n", -1)))
+    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
+    cols = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*cols, *([lines.alias("n_lines"), removed.alias("n_removed")] if extra else []))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
