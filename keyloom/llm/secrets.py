@@ -110,7 +110,8 @@ def joined_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]
     nothing above the join needs a blob's rows together."""
     blobs = columns(versions, path_col, text_col).select(path_col, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256)).alias("blob"))
     hits = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).distinct()
-    hits = hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # Written first, so that the join has an exchange of its own and Spark can split a blob that many paths hold.
+    hits = written(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     return blobs.join(hits, "blob", "left").select(path_col, F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
@@ -123,16 +124,16 @@ def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES)
 
     All columns and rows stay; null text stays null."""
     hits = ledger.where(F.col("rule").isin([r.name for r in rules]) & (F.size("spans") > 0)).distinct()
-    hits = written(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
+    hits = written(hits.groupBy(F.col("blob").alias("_kl_blob")).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("_kl_spans")))
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), s["kind"], F.lit("]")))
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(more).alias("out"))
 
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = docs.withColumn("blob", F.unhex(F.sha2(text, 256))).join(hits, "blob", "left")
-    return out.select(*[F.when(F.col("spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    cut = F.aggregate("_kl_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = docs.withColumn("_kl_blob", F.unhex(F.sha2(text, 256))).join(hits.hint("merge"), "_kl_blob", "left")
+    return out.select(*[F.when(F.col("_kl_spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
