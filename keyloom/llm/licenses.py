@@ -124,7 +124,7 @@ def own_licenses(files: DataFrame, id_col: str | None = None) -> DataFrame:
             whole = [bool(is_file.search(p or "")) for p in paths]
             found = [own.license(t, w) for t, w in zip(texts, whole, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([n for n, _ in found], pa.string()), pa.array([round(s, 6) for _, s in found], pa.float64()), pa.array(whole), *[part.column(2)] * bool(id_col)],
+                [part.column(0), pa.array([n for n, _ in found], pa.string()), pa.array([round(s, 6) for _, s in found], pa.float64()), pa.array(whole), *part.columns[2:]],
                 ["path", "license", "score", "is_license_file", *names[2:]],
             )
 

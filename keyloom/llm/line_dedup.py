@@ -1,7 +1,8 @@
 """Line dedup (operator 9), native: content-defined chunks of lines, removed where they repeat in the corpus.
 
-A rolling hash over the hashes of the last two lines ends a chunk in one of four cases, so that boundaries follow
-the content and inserted or deleted lines only move the chunks beside them. A line of LONG_WORDS words or more is as good
+A rolling hash runs over the hashes of the last two lines; a chunk ends where it is less than at the lines beside. So
+boundaries follow the content, inserted or deleted lines only move the chunks beside them, and chunks have two lines or
+more, three on average. A line of LONG_WORDS words or more is as good
 as several lines: it is a chunk of its own. Chunks of two lines with words, or of one long line, count by digest over
 all documents; every one but the first (by doc_id, then place) goes after its bytes were compared with the first's.
 """
@@ -15,8 +16,6 @@ from .common import WORD, columns, written
 from .secrets import let
 
 LONG_WORDS = 50
-#: A chunk ends where the first hex digit of the rolling hash is one of these: 4 of 16.
-ENDS = "0123"
 
 
 def chunks(text: Column) -> Column:
@@ -36,9 +35,12 @@ def chunks(text: Column) -> Column:
         )
 
         def of_marks(m: Column) -> Column:
-            at = lambda i: F.get(m, i)
-            rolling = lambda i: F.md5(F.concat(F.coalesce(at(i - 1)["hash"], F.lit("")), at(i)["hash"]))
-            ends = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | at(i)["long"] | at(i + 1)["long"] | F.substring(rolling(i), 1, 1).isin(*ENDS))
+            rolling = F.transform(m, lambda x, i: F.md5(F.concat(F.coalesce(F.get(m, i - 1)["hash"], F.lit("")), x["hash"])))
+            long = lambda i: F.coalesce(F.get(m, i)["long"], F.lit(False))
+
+            def of_rolling(r: Column) -> Column:
+                dips = lambda i: (i > 0) & (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) < F.get(r, i + 1))
+                return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | long(i) | long(i + 1) | dips(i))
 
             def of_ends(e: Column) -> Column:
                 def one(stop: Column, j: Column) -> Column:
@@ -54,7 +56,7 @@ def chunks(text: Column) -> Column:
 
                 return F.transform(e, one)
 
-            return let(ends, of_ends)
+            return let(let(rolling, of_rolling), of_ends)
 
         return let(marks, of_marks)
 
@@ -117,7 +119,8 @@ WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(ra
 h AS (SELECT *, md5(line) AS hash, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM l),
 b AS (SELECT *, lead(words) OVER w AS after, lead(i) OVER w IS NULL AS final,
       md5(coalesce(lag(hash) OVER w, '') || hash) AS rolling FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-e AS (SELECT *, final OR words >= {LONG_WORDS} OR coalesce(after, 0) >= {LONG_WORDS} OR substr(rolling, 1, 1) IN ('0', '1', '2', '3') AS ends FROM b),
+e AS (SELECT *, final OR words >= {LONG_WORDS} OR coalesce(after, 0) >= {LONG_WORDS}
+      OR coalesce(i > 0 AND rolling < lag(rolling) OVER w AND rolling < lead(rolling) OVER w, false) AS ends FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS j FROM e),
 g AS (SELECT doc_id, j, string_agg(line, chr(10) ORDER BY i) AS body, count(*) AS n,
       count(*) FILTER (WHERE words > 0) >= 2 OR max(words) >= {LONG_WORDS} AS counts FROM c GROUP BY doc_id, j),
