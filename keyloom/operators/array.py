@@ -52,6 +52,12 @@ class AddressedArray:
         written = got.where(F.coalesce(keep, F.lit(False))) if keep is not None else got
         return self._store(written.withColumn("_new", new(F.col("value"))), order), got
 
+    def transform_batch(self, requests: DataFrame, order: str, f: Callable[[DataFrame], DataFrame]) -> tuple[AddressedArray, DataFrame]:
+        """access_batch with a callback for the whole batch: f gets the requests with their values and gives rows with addr,
+        the order column and new, and leaves out what should not be written. f may use mapInPandas."""
+        got = self.read_batch(requests)
+        return self._store(f(got).select("addr", order, F.col("new").alias("_new")), order), got
+
     def write_batch(self, requests: DataFrame, order: str, keep: Column | None = None) -> AddressedArray:
         """requests (addr, value): the first write of each cell counts."""
         if keep is not None:

@@ -141,6 +141,34 @@ def table_load(s, d):
     return KeyedTable(own, ["c_custkey"]).df.groupBy("segment", "nation").agg(F.count(F.lit(1)).alias("load"))
 
 
+@query("SELECT n_regionkey AS region, encode(n_name) AS name, n_nationkey AS value, r_name IS NOT NULL AS found FROM nation LEFT JOIN region ON r_regionkey = n_regionkey AND n_nationkey < 20")
+def find_by_two_keys(s, d):
+    n = table(s, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_name").cast("binary").alias("name"), F.col("n_nationkey").alias("value"))
+    own = KeyedTable(n.where("value < 20").withColumn("hit", F.lit(1)), ["region", "name"], ["hit"])
+    return own.find_batch(n).drop("hit")
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT -1, 0.5")
+def insert_one(s, d):
+    return _even(s, d).insert({"key": -1}, {"value": 0.5})[0].df
+
+
+@query("SELECT c_custkey AS key, CASE WHEN c_custkey = 4 THEN 0.5 ELSE c_acctbal END AS value FROM customer WHERE c_custkey % 2 = 0")
+def update_one(s, d):
+    return _even(s, d).update({"key": 4}, {"value": 0.5})[0].df
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0 AND c_custkey <> 4")
+def erase_one(s, d):
+    return _even(s, d).erase({"key": 4})[0].df
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 2 = 1")
+def load_from_slots(s, d):
+    slots = table(s, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), (F.col("c_custkey") % 3 == 0).alias("valid"), (F.col("c_custkey") % 2 == 0).alias("dummy"))
+    return KeyedTable.from_slots(slots, ["key"], ["value"], "valid", "dummy").df
+
+
 # ---- operation logs
 
 def _ops(s: SparkSession, d: str) -> DataFrame:
@@ -295,6 +323,18 @@ def route_to_shards(s, d):
     return routing.route(own, "shard", SHARDS).select("key", "ord")
 
 
+@query("SELECT s_suppkey AS key, array_to_string(list_sort([s_suppkey % 7, s_suppkey % 5, s_suppkey % 3, s_suppkey % 11]), ',') AS items FROM supplier")
+def sort_small_arrays(s, d):
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").select(k.alias("key"), F.array_join(F.array_sort(F.array(k % 7, k % 5, k % 3, k % 11)), ",").alias("items"))
+
+
+@query("SELECT side, count(*) AS slots, count(key) AS filled FROM (SELECT o_orderkey AS key, o_orderkey % 3 AS side FROM orders) GROUP BY side")
+def bucket_counts(s, d):
+    rows = table(s, d, "orders").select(F.col("o_orderkey").alias("key"), (F.col("o_orderkey") % 3).alias("side"))
+    return routing.check_capacity(rows, "side", 1_000_000_000).groupBy("side").agg(F.count(F.lit(1)).alias("slots"), F.count("key").alias("filled"))
+
+
 # ---- addressed arrays
 
 _CELLS, _DEFAULT = 2000, 31
@@ -328,6 +368,13 @@ def array_batch_access_results(s, d):
     return own.access_batch(requests, "ord", lambda v: v + 1)[1]
 
 
+@query(f"WITH {_FIRST} SELECT addr, value * 2 AS value FROM w WHERE value % 2 = 0 UNION ALL SELECT addr, value FROM w WHERE value % 2 <> 0")
+def array_transform_batch(s, d):
+    own = AddressedArray.filled(s, _CELLS, _DEFAULT).write_batch(_writes(s, d), "ord")
+    double = lambda got: got.where("value % 2 = 0").withColumn("new", F.col("value") * 2)
+    return own.transform_batch(own.df.select("addr", F.col("addr").alias("ord")), "ord", double)[0].df
+
+
 @query(f"WITH k AS (SELECT o_custkey AS addr, min_by(o_orderkey, o_orderkey) AS value FROM orders WHERE o_custkey < {_CELLS} AND o_orderstatus <> 'F' GROUP BY 1) SELECT addr, value FROM k")
 def array_batch_write_kept(s, d):
     requests = table(s, d, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("addr"), F.col("o_orderkey").alias("value"), "o_orderstatus").where(f"addr < {_CELLS}")
