@@ -84,9 +84,12 @@ def pieces(text: str) -> list[str]:
 
 
 class Memo:
-    """Results by piece. Unseen pieces of a step are handled together; the memo starts anew beyond its limit."""
+    """Results by piece. Unseen pieces of a step are handled together; the memo starts anew beyond its limit.
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 600_000) -> None:
+    A mark after a Latin-1 letter is a match of its own in all patterns here, so `word.` is put together from `word`
+    and `.`, which makes unseen pieces rarer."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 800_000) -> None:
         self.make, self.limit, self.known = make, limit, {}
 
     def __call__(self, texts: list[list[str]]) -> list[bytes]:
@@ -102,8 +105,12 @@ class Memo:
             else:
                 out.append(b"".join(got))
         if fresh:
+            split = [p for p in fresh if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "\u0130"]
+            fresh.difference_update(split)
+            fresh.update([q for p in split for q in (p[:-1], p[-1]) if q not in known])
             todo = list(fresh)
             known.update(zip(todo, self.make(todo), strict=True))
+            known.update([(p, known[p[:-1]] + known[p[-1]]) for p in split])
         for i, got in enumerate(out):
             if isinstance(got, list):
                 out[i] = b"".join([known[p] if v is None else v for p, v in zip(texts[i], got, strict=True)])
