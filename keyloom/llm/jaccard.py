@@ -5,6 +5,9 @@
    at least one group is the same in both, so classes that share no group's content are never linked. A group's
    digest and its class are a message; messages are packed into arrays, combined within each task, and meet by digest. Each
    digest hangs its classes on one of them; connected classes are a block. No digest makes all pairs of its classes.
+   Groups that only hold common shingles (of lines and passages that many texts share, found in a bounded sample) are
+   not told: there are a few more groups than needed, so that one with another shingle agrees too. Sets with too
+   many of such groups tell them all. So what is common decides about the size of blocks, never about links.
 3. Within a block, shingles hashed into DIMS groups give each class a point of counts. A bulk-loaded R-tree over the points is
    searched for every class: the summed minima of a point and a box (or point) bound the overlap from above.
    Surviving pairs are verified on the sets, best bound first, unless they are linked already.
@@ -32,6 +35,9 @@ from .graph import components
 
 DIMS, FANOUT = 128, 16
 BLOCK_SETS, BLOCK_SHINGLES = 4000, 4_000_000
+#: Common shingles: in COMMON_IN or more of about SAMPLE different texts, at most MOST_COMMON of them. A set may have this
+#: share of them without telling groups that hold nothing else, if it has about as many groups of those as expected.
+SAMPLE, COMMON_IN, MOST_COMMON, COMMON_SHARE = 4000, 4, 100_000, 0.15
 #: Messages that a task gathers before it combines and emits them.
 GATHER = 1_000_000
 NULL_ID = -(2**63)
@@ -54,7 +60,8 @@ def shingles(text: str, words: int) -> np.ndarray:
 
 @lru_cache
 def bands(percent: int, limit: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size of each band, and its numbers of groups and of empty groups that a set may have without telling them.
+    """First size of each band, and its numbers of groups and of groups with nothing but common shingles, or with none,
+    that a set may have without telling them.
 
     A set's partners are in its own band or the next; both tell the groups of either band. Smaller sets than the first
     band's are linked with equal sets only."""
@@ -66,21 +73,37 @@ def bands(percent: int, limit: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, n
         differ = 2 * (100 - percent) * (after - 1) // (100 + percent)
         m = 1
         for _ in range(3):
-            expected = (differ + 1 + m) * math.exp(-low * percent / 100 / (differ + 1 + m))
+            expected = (differ + 1 + m) * math.exp(-low * (1 - COMMON_SHARE) * percent / 100 / (differ + 1 + m))
             m = int(expected + 3 * math.sqrt(expected)) + 1
         groups.append(differ + 1 + m)
         spare.append(m)
     return np.array(starts[:-1]), np.array(groups), np.array(spare)
 
 
-def digests(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of all groups that the sets tell, and the set of each."""
+def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts share, from a sample of bounded size. Any set is right, a good one saves work."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").distinct()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches(it):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, words) for t in texts]).view(np.int64))], ["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_IN)
+    return np.sort(np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], dtype=np.int64).view(_U))
+
+
+def digests(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all groups that the sets tell, and the set of each. common: sorted hashes of common shingles."""
     starts, groups, spare = bands(percent)
     size = np.array([len(s) for s in sets])
     own = np.searchsorted(starts, size, side="right") - 1
     hashes = np.concatenate(sets) if sets else np.empty(0, dtype=_U)
     at = np.repeat(np.arange(len(sets)), size)
     mixed = _mix(hashes + _U(0x2545F4914F6CDD1D))
+    own_sign = np.ones(len(hashes), dtype=bool)
+    if common is not None and len(common):
+        own_sign = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
     low, high = (mixed & _U(0xFFFFFFFF)).astype(float), (mixed >> _U(32)).astype(float)
     found = []
     for band in (own, own + 1):
@@ -91,7 +114,7 @@ def digests(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
         mine = tells[at]
         code = first[at[mine]] + ((hashes[mine] >> _U(17)) % count[at[mine]].astype(_U)).astype(np.int64)
         n = int(first[-1])
-        filled = np.bincount(code, minlength=n) > 0
+        filled = np.bincount(code[own_sign[mine]], minlength=n) > 0
         total = np.bincount(code, low[mine], n).astype(_U) + (np.bincount(code, high[mine], n).astype(_U) << _U(20))
         owner = np.repeat(np.arange(len(sets)), count)
         empty = np.bincount(owner[~filled], minlength=len(sets))
@@ -148,6 +171,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: for each digest, edges between the least node that has it and the others. Repeats stay."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = 8 * parts
+    common = common_shingles(columns(docs, "doc_id", "text"), words)
 
     def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -170,7 +194,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
             own = [s for t in texts if len(s := shingles(t, words))]
             if not own:
                 continue
-            digest, owner = digests(own, percent)
+            digest, owner = digests(own, percent, common)
             held.append((digest, np.array([node_of(set_key(s)) for s in own], dtype=_U)[owner]))
             size += len(digest)
             if size > GATHER:
