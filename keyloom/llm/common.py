@@ -74,25 +74,32 @@ _PAIR = re.compile(r"\s \s")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: str) -> list[str | bytes]:
     """Cuts a text where the byte-level split pattern surely starts anew: before a blank that follows or precedes
-    something else than white space. The pieces give the text when joined, and can be tokenized each on its own."""
+    something else than white space. Each piece can be tokenized on its own. A str stands for a blank and that str
+    (most pieces; no string has to be made for the blank), bytes for just that text. See whole()."""
     parts = text.split(" ")
     if "" in parts or _PAIR.search(text):
-        return [x for x in _CUT.split(text) if x]
-    return [parts[0], *[" " + x for x in parts[1:]]]
+        return [x.encode("utf-8", "surrogatepass") for x in _CUT.split(text) if x]
+    parts[0] = parts[0].encode("utf-8", "surrogatepass")
+    return parts
+
+
+def whole(piece: str | bytes) -> str:
+    """The text that a piece stands for."""
+    return " " + piece if isinstance(piece, str) else piece.decode("utf-8", "surrogatepass")
 
 
 class Memo:
     """Results by piece. Unseen pieces of a step are handled together; the memo starts anew beyond its limit.
 
     A mark after a Latin-1 letter is a match of its own in all patterns here, so `word.` is put together from `word`
-    and `.`, which makes unseen pieces rarer."""
+    and `.`, which makes unseen pieces rarer. blanks: pieces are those of pieces(), else plain strings."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 800_000) -> None:
-        self.make, self.limit, self.known = make, limit, {}
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 1_200_000, blanks: bool = True) -> None:
+        self.make, self.limit, self.blanks, self.known = make, limit, blanks, {}
 
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
+    def __call__(self, texts: list[list]) -> list[bytes]:
         known = self.known
         if len(known) > self.limit:
             known.clear()
@@ -105,12 +112,13 @@ class Memo:
             else:
                 out.append(b"".join(got))
         if fresh:
-            split = [p for p in fresh if len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "\u0130"]
+            alone = (lambda mark: mark.encode()) if self.blanks else (lambda mark: mark)
+            split = [p for p in fresh if isinstance(p, str) and len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "\u0130"]
             fresh.difference_update(split)
-            fresh.update([q for p in split for q in (p[:-1], p[-1]) if q not in known])
+            fresh.update([q for p in split for q in (p[:-1], alone(p[-1])) if q not in known])
             todo = list(fresh)
-            known.update(zip(todo, self.make(todo), strict=True))
-            known.update([(p, known[p[:-1]] + known[p[-1]]) for p in split])
+            known.update(zip(todo, self.make(list(map(whole, todo)) if self.blanks else todo), strict=True))
+            known.update([(p, known[p[:-1]] + known[alone(p[-1])]) for p in split])
         for i, got in enumerate(out):
             if isinstance(got, list):
                 out[i] = b"".join([known[p] if v is None else v for p, v in zip(texts[i], got, strict=True)])

@@ -125,7 +125,7 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW,
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, memo, end = TaskContext.get().partitionId(), library_memo(tokenizer_path, 4), np.array([end_id], dtype="<u4").tobytes()
+        part, memo, end = TaskContext.get().partitionId(), library_memo(tokenizer_path, 4, True), np.array([end_id], dtype="<u4").tobytes()
         seen = [0] * (window + 1)
         for batch, texts in batches(it):
             rows: list[list] = [[] for _ in range(7 + with_ids)]

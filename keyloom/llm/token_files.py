@@ -38,18 +38,19 @@ def open_tokenizer(path: str):
     return own
 
 
-_memos: dict[tuple[str, int], Memo] = {}
+_memos: dict[tuple[str, int, bool], Memo] = {}
 #: Pieces that the library encodes in one call, with a special token between them.
 TOGETHER = 500
 SEPARATOR = "<|endoftext|>"
 
 
-def library_memo(path: str, width: int) -> Memo:
+def library_memo(path: str, width: int, blanks: bool) -> Memo:
     """Encodes pieces of text by the tokenizers library to little-endian ids of so many bytes; once for each worker.
+    blanks: the pieces are those of common.pieces.
 
     The library cuts a text at special tokens before all else, so pieces joined by one are encoded as if alone, and
     its id tells them apart. Pieces that hold such a string themselves are encoded alone, as ordinary text."""
-    if (path, width) not in _memos:
+    if (path, width, blanks) not in _memos:
         alone, joined, kind = open_tokenizer(path), open_tokenizer(path), f"<u{width}"
         joined.encode_special_tokens = False
         mark = joined.token_to_id(SEPARATOR)
@@ -66,8 +67,8 @@ def library_memo(path: str, width: int) -> Memo:
                         out[p] = raw[x:y]
             return [out[p] for p in todo]
 
-        _memos[path, width] = Memo(make)
-    return _memos[path, width]
+        _memos[path, width, blanks] = Memo(make, blanks=blanks)
+    return _memos[path, width, blanks]
 
 
 def word_pieces(text: str) -> list[str]:
@@ -97,7 +98,7 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        memo, fs, own = library_memo(tokenizer_path, width), *filesystem(out_dir)
+        memo, fs, own = library_memo(tokenizer_path, width, False), *filesystem(out_dir)
         part = TaskContext.get().partitionId()
         end = np.array([end_id], dtype=kind).tobytes()
         name, sizes, ids = f"{own}/.{part:08d}-{uuid.uuid4().hex}", [], []
