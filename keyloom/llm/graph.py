@@ -12,17 +12,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component (least node that it is connected with) of all nodes of edges (a, b), longs.
 
     Each round hangs a node's smaller neighbours, and then its larger ones, on the least of them. When no node has
-    a parent that itself has one, the stars are the components: after about log(longest path) rounds. A row for each
-    node and component is all that a hub's join makes, and Spark can split it."""
+    two parents, or a parent that itself has one, the stars are the components: after about log(longest path) rounds. A row
+    for each node and component is all that a hub's join makes, and Spark can split it."""
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges = written(edges)
     while True:
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
         small = edges.join(least, "b").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e"))
         small = written(small.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct())
-        least = small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+        least = small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
         up = small.join(least, "a", "left").select("a", "b", "m")
-        if up.where("m is not null").isEmpty():  # every parent is a root
+        if least.where("n > 1").isEmpty() and up.where("m is not null").isEmpty():  # one parent each, and that is a root
             return small.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         large = up.select(F.explode(F.array(F.struct(F.coalesce("m", "a").alias("m"), F.col("b").alias("x")), F.struct(F.coalesce("m", "a").alias("m"), F.col("a").alias("x")))).alias("e"))
         edges = written(large.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

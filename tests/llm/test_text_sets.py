@@ -106,6 +106,17 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_go_on_while_a_node_has_two_roots(spark):
+    edges = [(1, 4), (2, 5), (3, 4), (3, 5)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1, 6), 1)
+    rnd = random.Random(8)
+    edges = [(100 * g + a, 100 * g + b) for g in range(60) for ids in [rnd.sample(range(100), 8)] for a, b in zip(ids, ids[1:], strict=False)]
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    least = {g: min(min(e) for e in edges if e[0] // 100 == g) for g in range(60)}
+    assert len(got) == 480 and all(r.component == least[r.node // 100] for r in got)
+
+
 def test_sketches():
     rng = np.random.default_rng(7)
     a, b = rng.bytes(6000), rng.bytes(3000)
