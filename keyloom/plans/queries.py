@@ -415,7 +415,9 @@ def common_suffix_len(s, d):
 
 @query("SELECT p_partkey AS key, CAST(list_sum(list_transform(range(16), lambda i: ((p_partkey >> i::INT) & 1) << (15 - i)::INT)) AS BIGINT) AS reversed FROM part WHERE p_partkey < 65536")
 def reverse_bits(s, d):
-    return table(s, d, "part").where("p_partkey < 65536").select(F.col("p_partkey").alias("key"), N.reverse_bits(F.col("p_partkey"), 16).alias("reversed"))
+    parts = table(s, d, "part")
+    width = max(16, (parts.agg(F.max("p_partkey")).first()[0] or 0).bit_length())
+    return parts.select(F.col("p_partkey").alias("key"), N.reverse_bits(F.col("p_partkey"), width).alias("reversed"))
 
 
 @query("SELECT p_size AS x, CAST(ceil(log2(p_size)) AS INTEGER) AS up, CAST(floor(log2(p_size)) AS INTEGER) AS down, CAST(pow(2, ceil(log2(p_size))) AS BIGINT) AS power, CAST(ceil(p_size / 7.0) AS BIGINT) AS sevenths FROM (SELECT DISTINCT p_size FROM part)")

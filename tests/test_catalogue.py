@@ -30,3 +30,10 @@ def test_entry(spark):
     out = e.entry(spark)
     assert out.count() > 0 and "till_block" in out.columns
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_reverse_bits_of_large_keys(spark, tmp_path):
+    keys = [1, 65535, 65536, 99_999]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.key: r.reversed for r in QUERIES["reverse_bits"](spark, str(tmp_path)).collect()}
+    assert got == {k: int(f"{k:017b}"[::-1], 2) for k in keys}
