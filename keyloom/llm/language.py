@@ -31,14 +31,16 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def learn(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY) -> dict[str, bytes]:
-    """A dictionary for each lang of docs (text, lang), the most common first, from about `documents` texts of it chosen by a hash of the text.
+    """A dictionary for each lang of docs (text, lang), the most common first, from about `documents` distinct texts of it chosen by a hash of the text.
 
     The sample is bounded: documents times SHARE characters for each language."""
     docs = columns(docs, "text", "lang").where("lang is not null and text is not null")
-    counts = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    if not found:
         return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, documents / n))])
+    counts, texts = {r.lang: r.n for r in found}, {r.lang: r.texts for r in found}
+    # copies come into the sample together, so only distinct texts count
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(texts.items()) for x in (lang, min(1.0, documents / n))])
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
     by: dict[str, list[str]] = {}
     for r in sample.select("lang", F.substring("text", 1, SHARE).alias("text")).distinct().collect():

@@ -79,6 +79,12 @@ def test_held_out_accuracy(docs):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_copies_leave_no_language_out(docs):
+    rows = [(i, f"kalo mitu text {i % 5}") for i in range(4000)] + [(5000 + i, f"strk brz glim {i}") for i in range(40)]
+    learned = language.learn(docs(rows, ["xa"] * 4000 + ["xb"] * 40))
+    assert list(learned) == ["xa", "xb"] and all(f"kalo mitu text {i}" in learned["xa"].decode() for i in range(5))
+
+
 def test_no_letters_is_unknown(docs):
     learned = {"xa": b"some text here", "xb": b"other words"}
     out = language.classify(docs([(1, None), (2, "12 !! ½"), (3, "word"), (3, "word")]), learned).collect()
