@@ -279,7 +279,9 @@ def bucketize_pivots(s, d):
 @query("""WITH r AS (SELECT s_suppkey AS key, CAST(s_suppkey % 2 AS INTEGER) AS side, row_number() OVER (PARTITION BY s_suppkey % 2 ORDER BY s_suppkey) AS slot FROM supplier),
 g AS (SELECT CAST(a.range AS BIGINT) AS side, b.range + 1 AS slot FROM range(2) a, range(1000) b) SELECT g.side, g.slot, r.key FROM g LEFT JOIN r ON g.side = r.side AND g.slot = r.slot""")
 def split_two_ways(s, d):
-    return routing.split_two_ways(table(s, d, "supplier").select(F.col("s_suppkey").alias("key")), "key", F.col("key") % 2 == 1, 1000)
+    own, right = table(s, d, "supplier").select(F.col("s_suppkey").alias("key")), F.col("key") % 2 == 1
+    fuller = own.groupBy(right).count().agg(F.max("count")).first()[0] or 0
+    return routing.split_two_ways(own, "key", right, max(1000, fuller))
 
 
 @query("SELECT p_partkey AS key, p_retailprice AS price, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part")

@@ -37,3 +37,10 @@ def test_reverse_bits_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.key: r.reversed for r in QUERIES["reverse_bits"](spark, str(tmp_path)).collect()}
     assert got == {k: int(f"{k:017b}"[::-1], 2) for k in keys}
+
+
+def test_split_two_ways_of_many_suppliers(spark, tmp_path):
+    spark.range(1, 3001).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = QUERIES["split_two_ways"](spark, str(tmp_path)).collect()
+    assert sorted(r.key for r in got if r.key is not None) == list(range(1, 3001)) and len(got) == 3000
+    assert all(r.key % 2 == r.side for r in got if r.key is not None)
