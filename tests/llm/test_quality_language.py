@@ -48,6 +48,17 @@ def test_forest_keeps_good_and_rejects_junk(spark, docs):
     assert sorted(r.doc_id for r in left.collect()) == kept and left.columns == docs([]).columns
 
 
+def test_doubled_lines_are_anomalous(spark, docs):
+    rnd = random.Random(5)
+    # short lines that come again between unlike ones: no window of five words is found twice
+    lines = lambda text, again: "\n".join(x for w in zip(*[iter(unique_words(text).split())] * 6, strict=False) for x in (" ".join(w), again or "".join(rnd.choices("abcdefgh", k=4)) + " " + "".join(rnd.choices("abcdefgh", k=2))))
+    rows = [(i, lines(good(rnd), None if i % 6 else "read on")) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 6 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.judge(docs(rows), labels).collect()}
+    assert not any(r.base_failed for r in out.values()) and sum(out[i].kept for i, _ in rows if i % 6) >= 0.97 * 500
+    assert sum(out[i].kept for i, _ in rows if i % 6 == 0) <= 60  # of 100; without the feature all stay
+
+
 def test_odd_rows_and_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality.judge(docs(ODD), none).collect()
