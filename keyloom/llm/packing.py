@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, columns, pieces, written
-from .token_files import library_memo
+from .common import batches, columns, written
+from .token_files import library_memo, open_tokenizer, special_cut
 
 WINDOW = 1024
 #: Depth-three combinations tried for each length: partners at these shares of what is left.
@@ -118,7 +118,8 @@ class Places:
 
 def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """Pieces of every document: doc_id, start, length, ids_crc32, doc_tokens, part, rank (among the part's pieces of
-    that length), and ids (binary, 32-bit) if asked for. Null text counts as empty; every document has the end id."""
+    that length), and ids (binary, 32-bit) if asked for. Null text counts as empty; every document has the end id.
+    A special token's string in a text gives its id, as the library has it."""
     docs = columns(docs, "doc_id", "text")
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, rank long" + ", ids binary" * with_ids
 
@@ -126,10 +127,10 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW,
         from pyspark import TaskContext
 
         part, memo, end = TaskContext.get().partitionId(), library_memo(tokenizer_path, 4, True), np.array([end_id], dtype="<u4").tobytes()
-        seen = [0] * (window + 1)
+        seen, cut_up = [0] * (window + 1), special_cut(open_tokenizer(tokenizer_path))
         for batch, texts in batches(it):
             rows: list[list] = [[] for _ in range(7 + with_ids)]
-            for doc, ids in zip(batch.column(0).to_pylist(), memo([pieces(t) for t in texts]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), memo([cut_up(t) for t in texts]), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

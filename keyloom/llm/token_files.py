@@ -10,9 +10,10 @@ A task writes under a name of its own attempt and then renames, so a task that r
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +21,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, columns, shared_dir, written
+from .common import Memo, batches, columns, pieces, shared_dir, written
 
 #: Documents read back in one step.
 READ_DOCS = 4096
 
 
 def open_tokenizer(path: str):
-    """The tokenizers library's tokenizer; strings of special tokens in a text are ordinary text."""
+    """The tokenizers library's tokenizer, as it is: the string of a special token in a text gives that token's id."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(path)
+
+
+def special_cut(own) -> Callable[[str], list[str | bytes]]:
+    """common.pieces, with each special token of a tokenizer as a piece of its own: the library cuts there before all
+    else, so white space before one is at the end of a text."""
+    cut = re.compile("(" + "|".join(sorted(map(re.escape, (t.content for t in own.get_added_tokens_decoder().values())), key=len, reverse=True)) + ")").split
+
+    def of(text: str) -> list[str | bytes]:
+        if "<|" not in text:
+            return pieces(text)
+        return [p for i, x in enumerate(cut(text)) for p in ([x.encode()] if i % 2 else pieces(x))]
+
+    return of
 
 
 _memos: dict[tuple[str, int, bool], Memo] = {}
@@ -49,21 +61,20 @@ def library_memo(path: str, width: int, blanks: bool) -> Memo:
     blanks: the pieces are those of common.pieces.
 
     The library cuts a text at special tokens before all else, so pieces joined by one are encoded as if alone, and
-    its id tells them apart. Pieces that hold such a string themselves are encoded alone, as ordinary text."""
+    its id tells them apart. Pieces that may hold a part of such a string themselves are encoded alone."""
     if (path, width, blanks) not in _memos:
-        alone, joined, kind = open_tokenizer(path), open_tokenizer(path), f"<u{width}"
-        joined.encode_special_tokens = False
-        mark = joined.token_to_id(SEPARATOR)
+        own, kind = open_tokenizer(path), f"<u{width}"
+        mark = own.token_to_id(SEPARATOR)
 
         def make(todo: list[str]) -> list[bytes]:
-            out: dict[str, bytes] = {p: np.array(alone.encode(p, add_special_tokens=False).ids, dtype=kind).tobytes() for p in todo if "<|" in p or "|>" in p}
+            out: dict[str, bytes] = {p: np.array(own.encode(p, add_special_tokens=False).ids, dtype=kind).tobytes() for p in todo if "<|" in p or "|>" in p}
             rest = [p for p in todo if p not in out] if out else todo
             for i in range(0, len(rest), 40 * TOGETHER):
                 some = [rest[j : j + TOGETHER] for j in range(i, min(i + 40 * TOGETHER, len(rest)), TOGETHER)]
-                for own, coded in zip(some, joined.encode_batch_fast([SEPARATOR.join(x) for x in some], add_special_tokens=False), strict=True):
+                for group, coded in zip(some, own.encode_batch_fast([SEPARATOR.join(x) for x in some], add_special_tokens=False), strict=True):
                     ids = np.array(coded.ids, dtype=kind)
                     raw, cut = ids.tobytes(), (np.flatnonzero(ids == mark) * width).tolist()
-                    for p, x, y in zip(own, [0, *[c + width for c in cut]], [*cut, len(raw)], strict=True):
+                    for p, x, y in zip(group, [0, *[c + width for c in cut]], [*cut, len(raw)], strict=True):
                         out[p] = raw[x:y]
             return [out[p] for p in todo]
 
