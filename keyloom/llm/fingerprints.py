@@ -105,7 +105,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows bucket, tail, key, doc_id, text, dealt and sorted so that within each bucket a row's successor comes next.
 
-    Buckets are ranges of doc_id; each also gets (tail) the first row of the bucket after it, the last one that of the
+    Buckets are ranges of doc_id, one for each task; each also gets (tail) the first row of the bucket after it, the last one that of the
     first. Only bounds and first ids, one for each bucket, meet on the driver. Null doc_id sorts first."""
     docs = columns(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("key"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -119,7 +119,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("bucket").cast("bigint").alias("bucket"), F.lit(False).alias("tail"))
     copy = F.struct(of(before).cast("bigint").alias("bucket"), F.lit(True).alias("tail"))
     dealt = docs.select(F.explode(F.when(of(firsts) == F.col("key"), F.array(own, copy)).otherwise(F.array(own))).alias("to"), "key", "doc_id", "text")
-    return dealt.select("to.bucket", "to.tail", "key", "doc_id", "text").repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "key", "text")
+    return dealt.select("to.bucket", "to.tail", "key", "doc_id", "text").repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", "key", "text")
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:

@@ -154,7 +154,8 @@ def pack(cut_pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     for length, n in bases.groupBy("length").agg(F.sum("n")).collect():  # at most `window` rows
         histogram[length] = n
     places = Places(plan(histogram, window), window)
-    ranked = cut_pieces.join(bases.select("part", "length", "base"), ["part", "length"])
+    # Bases grow with the parts, so they are never broadcast; a length that most pieces have is a key for each part.
+    ranked = cut_pieces.join(bases.select("part", "length", "base").hint("merge"), ["part", "length"])
     keep = [c for c in cut_pieces.columns if c not in ("part", "rank")]
     ranked = ranked.select(*keep, (F.col("base") + F.col("rank")).alias("rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank") + ", sequence_id long, offset long"
