@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space; words are the maximal runs of anything else (str.split() would also cut at other spaces).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,6 +126,12 @@ class Memo:
         return out
 
 
+def sampled(df: DataFrame, hashed: Column, share: float | Column) -> DataFrame:
+    """About that share of the rows, chosen by a 64-bit hash: any share above 0 works, however large the table."""
+    top = F.pmod(hashed, F.lit(1 << 62)).cast("double") / float(1 << 62)
+    return df.where(top < (F.lit(share) if isinstance(share, float) else share))
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns that an operator needs, so that others never clash with its own."""
     return df.select(*[df[n] for n in names])

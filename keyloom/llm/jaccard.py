@@ -1,18 +1,22 @@
 """N-gram Jaccard join (operator 6) over a count-vector R-tree, with classes of linked documents.
 
 1. Documents with equal shingle sets are one class; only classes are compared.
-2. Blocks. Two sets of Jaccard t differ in at most d shingles, d from their sizes. With the shingles hashed into more than d groups
+2. Points. The shingles of a class are hashed into DIMS groups; the groups' counts are its point. The summed minima of two
+   points (or boxes of points) bound the overlap of the sets from above.
+3. Blocks. Two sets of Jaccard t differ in at most d shingles, d from their sizes. With the shingles hashed into more than d groups
    at least one group is the same in both, so classes that share no group's content are never linked. A group's
    digest and its class are a message; messages are packed into arrays, combined within each task, and meet by digest. Each
    digest hangs its classes on one of them; connected classes are a block. No digest makes all pairs of its classes.
    Groups that only hold common shingles (of lines and passages that many texts share, found in a bounded sample) are
    not told: there are a few more groups than needed, so that one with another shingle agrees too. Sets with too
    many of such groups tell them all. So what is common decides about the size of blocks, never about links.
-3. Within a block, shingles hashed into DIMS groups give each class a point of counts. A bulk-loaded R-tree over the points is
-   searched for every class: the summed minima of a point and a box (or point) bound the overlap from above.
-   Surviving pairs are verified on the sets, best bound first, unless they are linked already.
-4. A block beyond BLOCK_SETS classes or BLOCK_SHINGLES shingles is dealt in chunks: one task for each pair of chunks,
-   so that all pairs are still covered. Components over the links of such blocks are found by graph.components.
+4. A block of up to BLOCK classes is one task's: a bulk-loaded R-tree over its points (halved along the widest
+   coordinate) is searched for every class, and what survives is verified on the sets, unless it is linked already.
+5. A larger block is joined tree node by tree node. First the edges that the digests hung up are verified, which finds
+   nearly all of its classes' components. Then leaves of up to LEAF points are packed into rows, those of the block's largest component
+   apart from the others. Leaves outside that component meet all leaves of the block whose boxes may reach the similarity;
+   only points travel. Surviving pairs of different components are verified on the sets: first the best of each two
+   components in two leaves, then, with what those joined, all that are left.
 
 Shingles count as their 64-bit hashes.
 """
@@ -29,12 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, columns, written
+from .common import batches, columns, sampled, written
 from .fingerprints import _mix
 from .graph import components
 
 DIMS, FANOUT = 128, 16
-BLOCK_SETS, BLOCK_SHINGLES = 4000, 4_000_000
+#: Classes of a block that one task compares; points of a leaf of larger ones.
+BLOCK, LEAF = 128, 256
 #: Common shingles: in COMMON_IN or more of about SAMPLE different texts, at most MOST_COMMON of them. A set may have this
 #: share of them without telling groups that hold nothing else, if it has about as many groups of those as expected.
 SAMPLE, COMMON_IN, MOST_COMMON, COMMON_SHARE = 4000, 4, 100_000, 0.15
@@ -82,8 +87,7 @@ def bands(percent: int, limit: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, n
 
 def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Sorted hashes of shingles that many texts share, from a sample of bounded size. Any set is right, a good one saves work."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").distinct()
+    some = sampled(docs, F.xxhash64("doc_id"), SAMPLE / max(1, docs.count())).select("text").distinct()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in batches(it):
@@ -154,17 +158,35 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:6], "little")
 
 
+def point(own: np.ndarray) -> bytes:
+    """The counts of a set's groups: a byte each, or four if one has more than 255 shingles."""
+    v = np.bincount(((own >> _U(40)) % _U(DIMS)).astype(np.int64), minlength=DIMS)
+    return v.astype("u1" if v.max() < 256 else "<u4").tobytes()
+
+
+def points_of(raw: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype="u1" if len(x) == DIMS else "<u4") for x in raw]).astype(np.int32)
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    inter = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * inter >= percent * (len(a) + len(b) - inter)
+
+
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc (null doc_id: the least long), n_shingles, key, node of every row; an empty set has no key."""
+    """doc (null doc_id: the least long), row (a hash of the text), n_shingles, key, node, point of every row; an empty
+    set has no key. place: a number that similar sets have in common, more often than not."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in batches(it):
             own = [shingles(t, words) for t in texts]
             keys = [set_key(s) if len(s) else None for s in own]
-            cols = [part.column(0).fill_null(NULL_ID), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and node_of(k) for k in keys], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "n_shingles", "key", "node"])
+            cols = [part.column(0).fill_null(NULL_ID), part.column(2), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and node_of(k) for k in keys], pa.int64())]
+            cols += [pa.array([point(s) if len(s) else None for s in own], pa.binary()), pa.array([int(_mix(s[:1])[0] >> _U(48)) if len(s) else None for s in own], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "n_shingles", "key", "node", "point", "place"])
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, "doc long, n_shingles long, key binary, node long")
+    rows = columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc long, row long, n_shingles long, key binary, node long, point binary, place int")
 
 
 def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -232,8 +254,22 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return told.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(meet, "a long, b long")
 
 
+def in_space(points: np.ndarray) -> np.ndarray:
+    """An order in which neighbours are near: runs are halved along their widest coordinate, down to FANOUT points."""
+    order, todo = np.arange(len(points)), [(0, len(points))]
+    while todo:
+        a, b = todo.pop()
+        if b - a > FANOUT:
+            own = points[order[a:b]]
+            order[a:b] = order[a:b][np.argsort(own[:, own.var(axis=0).argmax()], kind="stable")]
+            middle = a + max(1, (b - a) // (2 * FANOUT)) * FANOUT
+            todo += [(a, middle), (middle, b)]
+    return order
+
+
 class Tree:
-    """A bulk-loaded R-tree over count vectors: points sorted by size and first coordinates, FANOUT to a box."""
+    """An R-tree over count vectors that are in the order of in_space(): FANOUT points, or boxes, to a box. A box has
+    the greatest counts of its points, and the bounds of their sizes."""
 
     def __init__(self, points: np.ndarray, size: np.ndarray) -> None:
         self.levels = [(points, size, size)]
@@ -242,12 +278,13 @@ class Tree:
             cut = np.arange(0, len(top), FANOUT)
             self.levels.append((np.maximum.reduceat(top, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)))
 
-    def search(self, point: np.ndarray, size: int, percent: int, before: int) -> tuple[np.ndarray, np.ndarray]:
-        """Points below `before` that may reach the similarity, and their bounds of the overlap."""
-        at = np.arange(len(self.levels[-1][0]))
+    def search(self, point: np.ndarray, size: int, percent: int, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Points (below `before`, if given) that may reach the similarity, and their bounds of the overlap."""
+        at = bound = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[depth]
-            at = at[at * FANOUT**depth < before]
+            if before is not None:
+                at = at[at * FANOUT**depth < before]
             at = at[(100 * high[at] >= percent * size) & (percent * low[at] <= 100 * size)]
             bound = np.minimum(top[at], point).sum(axis=1)
             fits = (100 + percent) * bound >= percent * (size + low[at])  # overlap needed: t / (1 + t) of both sizes
@@ -258,97 +295,240 @@ class Tree:
         return at, bound
 
 
-def link(own: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Labels: sets linked, directly or by others, have the same. With side, only pairs on two sides are compared.
-
-    own must be in ascending order of size."""
-    size = np.array([len(s) for s in own])
-    points = np.stack([np.bincount(((s >> _U(40)) % _U(DIMS)).astype(np.int64), minlength=DIMS) for s in own]).astype(np.int32)
-    tree, label = Tree(points, size), np.arange(len(own))
+def link(own: list[np.ndarray], percent: int) -> np.ndarray:
+    """Labels: sets linked, directly or by others, have the same."""
+    points = points_of([point(s) for s in own])
+    order = in_space(points)
+    size = np.array([len(own[i]) for i in order])
+    points, label = points[order], np.arange(len(own))
+    tree = Tree(points, size)
     for q in range(1, len(own)):
         at, bound = tree.search(points[q], int(size[q]), percent, q)
         open_ = label[at] != label[q]
-        if side is not None:
-            open_ &= side[at] != side[q]
         at, bound = at[open_], bound[open_]
         for p in at[np.argsort(-bound, kind="stable")]:
-            if label[p] == label[q]:
-                continue
-            inter = len(np.intersect1d(own[p], own[q], assume_unique=True))
-            if 100 * inter >= percent * (size[p] + size[q] - inter):
+            if label[p] != label[q] and similar(own[order[p]], own[order[q]], percent):
                 label[label == label[q]] = label[p]
-    return label
-
-
-def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id linked, itself included) of every row of docs (doc_id, text).
-
-    Two texts link if they share percent of all their distinct shingles of `words` words; shorter texts are one
-    shingle. Null text or no word: size 0, linked with nothing. Null doc_id counts as the least of all and comes out as
-    null. Rows that repeat a doc_id are compared by their own texts. No rows give none."""
-    docs = columns(docs, "doc_id", "text")
+    out = np.empty_like(label)
+    out[order] = label
+    return out
+
+
+def _numbered(labels: list[bytes], seen: dict[bytes, int]) -> np.ndarray:
+    return np.array([seen.setdefault(x, len(seen)) for x in labels])
+
+
+def survivors(ours: tuple, theirs: tuple, percent: int, best: bool) -> list[tuple[int, int]]:
+    """Places of pairs from two leaves (points in the order of in_space, sizes, labels) that may be similar and have
+    different labels; best: one pair of each two labels, that with the greatest bound."""
+    seen: dict[bytes, int] = {}
+    tree, mine, other = Tree(theirs[0], theirs[1]), _numbered(ours[2], seen), _numbered(theirs[2], seen)
+    out, top = [], {}
+    for q in range(len(mine)):
+        at, bound = tree.search(ours[0][q], int(ours[1][q]), percent)
+        open_ = other[at] != mine[q]
+        for p, b in zip(at[open_].tolist(), bound[open_].tolist(), strict=True):
+            pair = (min(mine[q], other[p]), max(mine[q], other[p]))
+            if not best:
+                out.append((q, p))
+            elif b > top.get(pair, (-1,))[0]:
+                top[pair] = (b, q, p)
+    return out or [(q, p) for _, q, p in top.values()]
+
+
+def _links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """sets(docs), and key, component (the least doc linked), head (a key that linked classes have in common) of classes
+    that may be linked with others."""
     all_sets = written(sets(docs, words))
-    reps = all_sets.where("key is not null").groupBy("key", "node", "n_shingles").agg(F.min("doc").alias("doc"))
-    blocks = components(candidate_edges(docs, words, percent))
-    found = written(reps.join(blocks, "node").select("key", "doc", "n_shingles", F.col("component").alias("block")))
-    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    found = found.join(found.groupBy("block").agg(chunks.alias("chunks"), F.count(F.lit(1)).alias("n")).where("n > 1"), "block")
-    found = written(found.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks").cast("long")).cast("int")).drop("n", "n_shingles"))
-    # The texts of one document of each class in a block; then to one task for each block, or pair of its chunks.
-    texts = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text").join(found.hint("merge"), "doc")
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, "chunk").alias("i"), F.greatest(x, "chunk").alias("j")))
-    dealt = texts.select("block", "chunks", "chunk", "doc", "key", "text", F.explode(pair).alias("p")).select("block", "p.i", "p.j", "chunks", "chunk", "doc", "key", "text")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    links = written(dealt.mapInArrow(_linker(words, percent), "key binary, doc long, component long, whole boolean"))
-    # Blocks that one task saw are done; the others' links meet in components.
-    parts_ = links.where("not whole")
-    joined = components(parts_.select(F.col("doc").alias("a"), F.col("component").alias("b"))).where("node <> component")
-    more = parts_.select("key", "doc").distinct().join(joined.withColumnRenamed("node", "doc"), "doc").select("key", "component")
-    linked = links.where("whole").select("key", "component").unionByName(more)
-    ids = written(reps.select("key", "doc").join(linked, "key", "left").select("key", F.coalesce("component", "doc").alias("component")))
-    null = lambda c: F.when(c != NULL_ID, c)
-    return all_sets.join(ids, "key", "left").select(null(F.col("doc")).alias("doc_id"), "n_shingles", null(F.coalesce("component", "doc")).alias("component_id"))
+    reps = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("node", "n_shingles", "point", "place")])
+    edges = written(candidate_edges(docs, words, percent).where("a <> b").distinct())
+    found = written(reps.join(components(edges), "node").withColumnRenamed("component", "block"))
+    found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block"))
+    small, parts = found.where(F.col("n") <= BLOCK), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs, small.select("doc", "key", "block"))
+    dealt = texts.repartition(parts, "block").sortWithinPartitions("block")
+    linked = dealt.mapInArrow(_linker(words, percent), "key binary, component long, head binary")
+    large = found.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        linked = linked.unionByName(_large(docs, large, edges, words, percent))
+    return all_sets, written(linked)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (doc and more) with the texts of its documents; texts are never broadcast."""
+    own = columns(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "text")
+    return own.join(wanted.hint("merge"), "doc")
 
 
 def _linker(words: int, percent: int):
+    """Rows of a block, together: key, the least doc that it is linked with, and the first key."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, {}
 
-        def done() -> pa.RecordBatch | None:
-            rows = sorted(own.items(), key=lambda x: (len(x[1][0]), x[1][1]))
-            if len(rows) < 2:
-                return None
-            side = np.array([chunk for _, (_, _, chunk) in rows]) if at[1] != at[2] else None
-            label = link([s for _, (s, _, _) in rows], percent, side)
-            doc = np.array([d for _, (_, d, _) in rows], dtype=np.int64)
-            least = np.full(len(rows), np.iinfo(np.int64).max)
-            np.minimum.at(least, label, doc)
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array(doc), pa.array(least[label]), pa.array([at[3] == 1] * len(rows))], ["key", "doc", "component", "whole"])
+        def done() -> pa.RecordBatch:
+            label = link([s for s, _ in own.values()], percent)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, np.array([d for _, d in own.values()], dtype=np.int64))
+            keys = list(own)
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(least[label]), pa.array([keys[x] for x in label], pa.binary())], ["key", "component", "head"])
 
         for part, texts in batches(it):
-            block, i, j, chunks, chunk, doc, key = (part.column(n).to_pylist() for n in range(7))
+            doc, key, block = (part.column(n).to_pylist() for n in ("doc", "key", "block"))
             for x, text in enumerate(texts):
-                if (now := (block[x], i[x], j[x], chunks[x])) != at:
-                    if own and (out := done()):
-                        yield out
-                    at, own = now, {}
+                if block[x] != at:
+                    if own:
+                        yield done()
+                    at, own = block[x], {}
                 s = shingles(text, words)
                 if set_key(s) == key[x]:  # else another text of the same doc_id
-                    own[key[x]] = (s, doc[x], chunk[x])
-        if own and (out := done()):
-            yield out
+                    own[key[x]] = (s, doc[x])
+        if own:
+            yield done()
 
     return run
 
 
+def _large(docs: DataFrame, found: DataFrame, edges: DataFrame, words: int, percent: int) -> DataFrame:
+    """key, component, head of the classes of large blocks."""
+    found = written(found.select("block", "node", "key", "doc", "n_shingles", "point", "place"))
+
+    def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in batches(it):
+            own = [(k, s) for k, t in zip(part.column("key").to_pylist(), texts, strict=True) if set_key(s := shingles(t, words)) == k]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in own], pa.binary()), pa.array([s.tobytes() for _, s in own], pa.binary())], ["key", "own"])
+
+    own = written(_texts(docs, found.select("doc", "key")).mapInArrow(hashed, "key binary, own binary").groupBy("key").agg(F.any_value("own").alias("own")))
+
+    def both(pairs: DataFrame, table: DataFrame, on: str, *names: str) -> DataFrame:
+        for side in "ab":
+            other = table.select(F.col(on).alias(side), *[F.col(c).alias(f"{c}_{side}") for c in names])
+            pairs = pairs.join(other.hint("merge"), side)
+        return pairs
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                sides = [[np.frombuffer(x, dtype=_U) for x in b[c].to_pylist()] for c in ("own_a", "own_b")]
+                yield b.select(["a", "b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(*sides, strict=True)], pa.bool_()))
+
+        return written(both(pairs, own, "key", "own").select("a", "b", "own_a", "own_b").mapInArrow(run, "a binary, b binary"))
+
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                bound = np.minimum(points_of(b["point_a"].to_pylist()), points_of(b["point_b"].to_pylist())).sum(axis=1)
+                size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
+                yield pa.RecordBatch.from_arrays([b["key_a"], b["key_b"]], ["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * size))
+
+    hung = both(edges, found, "node", "key", "point", "n_shingles").select("key_a", "key_b", "point_a", "point_b", "n_shingles_a", "n_shingles_b")
+    linked = verified(hung.mapInArrow(near, "a binary, b binary").distinct())
+    for best in (True, False):
+        linked = linked.unionByName(verified(_leaf_pairs(_leaves(found, components(linked)), percent, best).distinct()))
+    label = found.join(components(linked).withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("component", "key").alias("head"))
+    return label.join(label.groupBy("head").agg(F.min("doc").alias("component")), "head").select("key", "component", "head")
+
+
+_LEAF = "block long, leaf long, main boolean, label binary, low long, high long, top array<int>, keys array<binary>, labels array<binary>, sizes array<long>, points array<binary>"
+
+
+def _leaves(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """Leaves of large blocks: a row for up to about LEAF points. main: they are of the block's largest component;
+    label: that of all points, if it is one."""
+    own = found.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
+    largest = own.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+    own = written(own.join(largest, "block").withColumn("main", F.col("label") == F.col("largest")).drop("largest"))
+    # Classes of one place lie together, in as many leaves as they fill; the others share leaves by ranges of places.
+    cells = own.groupBy("block", "main", "place").agg(F.count(F.lit(1)).alias("cell")).withColumn("full", F.col("cell") > LEAF // 4)
+    rest = cells.where("not full").groupBy("block", "main").agg(F.ceil(F.sum("cell") / (LEAF * 3 // 4)).alias("shared"))
+    cells = cells.join(rest, ["block", "main"], "left")
+    split = F.pmod(F.xxhash64("key", "block"), F.ceil(F.col("cell") / LEAF))
+    leaf = F.when(F.col("full"), F.xxhash64("place", split)).otherwise(F.expr("place * shared div 65536"))
+    own = own.join(cells, ["block", "main", "place"]).withColumn("leaf", leaf.cast("long"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            points = points_of([r["point"] for r in rows])
+            order = in_space(points)
+            mine, size = [rows[i] for i in order], [r["n_shingles"] for r in rows]
+            labels = {r["label"] for r in rows}
+            out = {"block": at[0], "leaf": at[2], "main": at[1], "label": labels.pop() if len(labels) == 1 else None, "low": min(size), "high": max(size), "top": points.max(axis=0).tolist()}
+            out |= {k: [r[c] for r in mine] for k, c in (("keys", "key"), ("labels", "label"), ("sizes", "n_shingles"), ("points", "point"))}
+            return pa.RecordBatch.from_pylist([out], schema)
+
+        schema = pa.schema([(n, _ARROW[t]) for n, t in (x.split(" ") for x in _LEAF.split(", "))])
+        for b in it:
+            for r in b.to_pylist():
+                if (now := (r["block"], r["main"], r["leaf"])) != at:
+                    if rows:
+                        yield done()
+                    at, rows = now, []
+                rows.append(r)
+        if rows:
+            yield done()
+
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.select("block", "main", "leaf", "key", "label", "n_shingles", "point").repartition(parts, "block", "main", "leaf").sortWithinPartitions("block", "main", "leaf")
+    return written(dealt.mapInArrow(run, _LEAF))
+
+
+_ARROW = {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+
+
+def _leaf_pairs(leaves: DataFrame, percent: int, best: bool) -> DataFrame:
+    """a, b: pairs of keys from two leaves that survive. Leaves of a block's largest component don't meet each other."""
+    box = ("main", "label", "low", "high", "top")
+    side = lambda n: leaves.select("block", *[F.col(c).alias(f"{c}_{n}") for c in ("leaf", *box)])
+    bound = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    met = side("a").where("not main_a").join(side("b").hint("merge"), "block").where("(main_b or leaf_a <= leaf_b) and not coalesce(label_a = label_b, false)")
+    met = met.where((100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a")) & ((100 + percent) * bound >= percent * (F.col("low_a") + F.col("low_b"))))
+    met = written(met.select("block", "leaf_a", "main_a", "leaf_b", "main_b"))
+    names = ("keys", "labels", "sizes", "points")
+    for n in "ab":
+        full = leaves.select("block", *[F.col(c).alias(f"{c}_{n}") for c in ("leaf", "main", *names)])
+        met = met.join(full.hint("merge"), ["block", f"leaf_{n}", f"main_{n}"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in b.to_pylist():
+                ours, theirs = ((points_of(r[f"points_{n}"]), np.array(r[f"sizes_{n}"]), r[f"labels_{n}"]) for n in "ab")
+                pairs = [sorted((r["keys_a"][i], r["keys_b"][j])) for i, j in survivors(ours, theirs, percent, best)]
+                yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.binary()) for n in (0, 1)], ["a", "b"])
+
+    return met.select(*[f"{c}_{n}" for c in names for n in "ab"]).mapInArrow(run, "a binary, b binary")
+
+
+def classes(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id linked, itself included) of every row of docs (doc_id, text).
+
+    Two texts link if they share percent of all their distinct shingles of `words` words; shorter texts are one
+    shingle. Null text or no word: size 0, linked with nothing. Null doc_id counts as the least of all and comes out as
+    null. Rows that repeat a doc_id are compared by their own texts. A text of any length is hashed whole, in memory. No rows give none."""
+    out = _classes(docs, words, percent)
+    null = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    return out.select(null("doc").alias("doc_id"), "n_shingles", null("component").alias("component_id"))
+
+
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc, row, n_shingles, component, head (null for texts without a word) of every row."""
+    all_sets, linked = _links(docs, words, percent)
+    alone = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("least"))
+    ids = written(alone.join(linked, "key", "left").select("key", F.coalesce("component", "least").alias("component"), F.coalesce("head", "key").alias("head")))
+    return all_sets.select("doc", "row", "n_shingles", "key").join(ids, "key", "left").withColumn("component", F.coalesce("component", "doc")).drop("key")
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Rows of docs with one document of each class: that of the least doc_id. All columns stay; texts without
-    a word stay. Of rows equal in doc_id and text one stays; of rows that only share a doc_id each class's first."""
-    found = classes(docs, words, percent)
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = written(found.where(same).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_kl_copies")).withColumnRenamed("doc_id", "_kl_id"))
-    out = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kl_id"])).drop("_kl_id")
+    a word stay. Of rows equal in doc_id and text one stays; of linked rows that share the least doc_id, that whose
+    text has the least hash. Two unlinked texts of one doc_id both stay, if it is the least of both."""
+    found = _classes(docs, words, percent).where("doc = component")
+    kept = found.where("head is null").select("doc", "row", F.lit(1).alias("_kl_copies")).distinct()
+    firsts = found.where("head is not null").groupBy("head", "doc").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("n"))
+    kept = written(kept.unionByName(firsts.select("doc", "row", F.col("n").cast("int").alias("_kl_copies"))).select(F.col("doc").alias("_kl_doc"), F.col("row").alias("_kl_row"), "_kl_copies"))
+    own = docs.withColumns({"_kl_id": F.coalesce("doc_id", F.lit(NULL_ID)), "_kl_hash": F.xxhash64("text")})
+    out = own.join(kept.hint("merge"), (F.col("_kl_id") == F.col("_kl_doc")) & (F.col("_kl_hash") == F.col("_kl_row"))).drop("_kl_id", "_kl_hash", "_kl_doc", "_kl_row")
     if kept.where("_kl_copies > 1").isEmpty():
         return out.drop("_kl_copies")
     return out.where("_kl_copies = 1").unionByName(out.where("_kl_copies > 1").dropDuplicates(["doc_id", "text"])).drop("_kl_copies")

@@ -50,11 +50,20 @@ def test_classes_match_all_pairs(docs, seed, words, percent):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, words, percent)
 
 
-def test_chunked_blocks_lose_nothing(docs, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
-    rows = corpus(3)
-    out = jaccard.classes(docs(rows), 3, 90).collect()
-    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, 3, 90)
+@pytest.mark.parametrize(("seed", "words", "percent", "leaf"), [(3, 3, 90, 5), (4, 5, 80, 8), (5, 2, 80, 300)])
+def test_large_blocks_lose_nothing(docs, monkeypatch, seed, words, percent, leaf):
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    rows = corpus(seed)
+    out = jaccard.classes(docs(rows), words, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, words, percent)
+
+
+def test_one_row_of_a_class_stays_where_doc_ids_repeat(docs):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(2, text), (2, text + " x"), (2, "other words here now again and again"), (5, "other words here now again and again"), (7, text + " x")]
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs(rows)).collect()]
+    assert len(kept) == 2 and {i for i, _ in kept} == {2} and len({t[:5] for _, t in kept}) == 2
 
 
 def test_every_similar_pair_shares_a_digest():
@@ -74,7 +83,7 @@ def test_every_similar_pair_shares_a_digest():
 def test_tree_bound_is_a_bound():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(20, 60, 8)]
-    own = sorted([np.unique(np.concatenate([base[rng.integers(8)][: rng.integers(15, 60)], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for _ in range(150)], key=len)
+    own = [np.unique(np.concatenate([base[rng.integers(8)][: rng.integers(15, 60)], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for _ in range(150)]
     label = jaccard.link(own, 80)
     plain = list(range(len(own)))
     for i in range(len(own)):
