@@ -103,3 +103,29 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
     every = {n: licenses.Matcher(100, {}).license(t, False)[0] for n, own in licenses.TEMPLATES.items() for t in own[:1]}
     assert all(n == found for n, found in every.items() if licenses.TRIGGER.search(licenses.TEMPLATES[n][0]))
+
+
+@pytest.mark.parametrize(("lines", "words"), [(2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (12, 5), (50, 1), (1, 55), (25, 2)])
+def test_passages_of_fifty_words_go_however_lines_are_cut(docs, lines, words):
+    rnd = random.Random(lines)
+    line = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    rows, own = [], []
+    for i in range(12):
+        passage = "\n".join(line(words) for _ in range(lines))
+        for j in (0, 1):
+            before, after = "\n".join(line(7) for _ in range(rnd.randrange(1, 4))), "\n".join(line(7) for _ in range(rnd.randrange(1, 4)))
+            rows.append((10 * i + j, f"{before}\n{passage}\n{after}"))
+            own.append(f"{before}\n{after}" if j else rows[-1][1])
+    out = {r.doc_id: r.text for r in line_dedup.dedup(docs(rows)).collect()}
+    assert [out[i] for i, _ in rows] == own
+
+
+def test_repeats_within_a_text_leave_the_first_whole(docs):
+    same = "one line of words that comes again and again"
+    rows = [(1, "\n".join([same] * 40)), (2, "unlike\n" + "\n".join([same] * 3) + "\nends"), (3, "a b c\n" * 3 + "short lines")]
+    out = {r.doc_id: r for r in line_dedup.dedup(docs(rows), extra=True).collect()}
+    assert out[1].text.split("\n") == [same] * (40 - out[1].n_removed) and 2 <= 40 - out[1].n_removed <= 12
+    assert same not in out[2].text or out[2].n_removed < 3
+    long = docs([(1, "\n".join(f"line {i} of a very long text" for i in range(60_000))), (2, "\n".join(f"line {i} of a very long text" for i in range(100, 50_000)))])
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup(long, extra=True).collect()}
+    assert got == {1: 0, 2: 49_900}
