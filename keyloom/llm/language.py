@@ -14,10 +14,11 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, columns
+from .common import batches, columns, sampled
 
-#: Bytes of a dictionary; documents of a language that it is gathered from (about) and bytes that each may give.
-DICTIONARY, DOCUMENTS, SHARE = 64_000, 160, 2_000
+#: Bytes of a dictionary; documents of a language that it is gathered from (about); slices, spread over the whole text,
+#: that each gives, and their characters at most; languages that are learned at most, the most common first.
+DICTIONARY, DOCUMENTS, SLICES, SLICE, LANGUAGES = 64_000, 160, 4, 500, 500
 BLOCK, LEVEL = 2048, 6
 #: A prediction is rejected if the second best language needs less than this share more.
 MARGIN = 0.01
@@ -30,25 +31,34 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def slices(text: F.Column) -> F.Column:
+    """SLICES parts of a text, from its start to its end in equal steps; a short text as it is."""
+    at = lambda j: F.floor((F.length(text) - SLICE) * j / (SLICES - 1)).cast("int") + 1
+    return F.when(F.length(text) <= SLICES * SLICE, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda j: F.substring(text, at(j), F.lit(SLICE))))
+
+
 def learn(docs: DataFrame, documents: int = DOCUMENTS, size: int = DICTIONARY) -> dict[str, bytes]:
     """A dictionary for each lang of docs (text, lang), the most common first, from about `documents` distinct texts of it chosen by a hash of the text.
 
-    The sample is bounded: documents times SHARE characters for each language."""
+    The sample is bounded: documents times SLICES times SLICE characters for each of LANGUAGES languages; each text gives
+    equally many bytes, from all over it."""
     docs = columns(docs, "text", "lang").where("lang is not null and text is not null")
-    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts")).collect()
+    found = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts"))
+    found = found.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not found:
         return {}
-    counts, texts = {r.lang: r.n for r in found}, {r.lang: r.texts for r in found}
     # copies come into the sample together, so only distinct texts count
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(texts.items()) for x in (lang, min(1.0, documents / n))])
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    by: dict[str, list[str]] = {}
-    for r in sample.select("lang", F.substring("text", 1, SHARE).alias("text")).distinct().collect():
-        by.setdefault(r.lang, []).append(r.text)
+    share = F.create_map(*[F.lit(x) for r in sorted(found, key=lambda r: r.lang) for x in (r.lang, min(1.0, documents / r.texts))])
+    sample = sampled(docs, F.xxhash64("text"), F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    by: dict[str, list[list[str]]] = {}
+    for r in sample.select("lang", F.xxhash64("text").alias("h"), slices(F.col("text")).alias("own")).distinct().orderBy("lang", "h").collect():
+        by.setdefault(r.lang, []).append(r.own)
     out = {}
-    for lang in sorted(by, key=lambda x: (-counts[x], x)):
-        each = max(200, size // len(by[lang]))  # an equal part of each document
-        out[lang] = "\n".join(t[:each] for t in sorted(by[lang])).lower().encode()[:size]
+    for r in found:
+        texts = by.get(r.lang, [])
+        each = max(200, size // max(1, len(texts)) - SLICES)
+        parts = [x.lower().encode("utf-8", "surrogatepass")[: each // len(own)] for own in texts for x in own]
+        out[r.lang] = b"\n".join(parts)
     return {k: v for k, v in out.items() if v}
 
 
@@ -84,7 +94,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     Null text or no letter in it: `und`, score 0, rejected; so too if no language was learned. Score: the best
     language's share of exp(-excess size / MARGIN). Ties go to the language
-    with more documents to learn from."""
+    with more documents to learn from. A very long text is compressed block by block."""
     docs = columns(docs, "doc_id", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

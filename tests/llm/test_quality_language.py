@@ -120,3 +120,27 @@ def test_no_letters_is_unknown(docs):
     out = language.classify(docs([(1, None), (2, "12 !! ½"), (3, "word"), (3, "word")]), learned).collect()
     assert sorted((r.doc_id, r.lang_pred == "und") for r in out) == [(1, True), (2, True), (3, False), (3, False)]
     assert language.learn(docs([])) == {} and language.classify(docs([(1, "x")]), {}).first().lang_pred == "und"
+
+
+def test_dictionaries_come_from_all_over_long_texts(docs):
+    rows = [(i, "start " * 3000 + f"middle{i} " * 3000 + "finish " * 3000) for i in range(5)] + [(9, "short text")]
+    own = language.learn(docs(rows, ["xa"] * 6))["xa"].decode()
+    assert all(w in own for w in ("start", "middle3", "finish", "short text")) and len(own) <= language.DICTIONARY
+
+
+def test_smallest_size_wins(docs):
+    import zstandard
+
+    rnd = random.Random(6)
+    learned = {k: " ".join("".join(rnd.choice(v) for _ in range(3)) for _ in range(900)).encode() for k, v in SYLLABLES.items()}
+    texts = [(i, " ".join("".join(rnd.choice(SYLLABLES[rnd.choice(list(SYLLABLES))]) for _ in range(2)) for _ in range(rnd.choice([1, 5, 40, 900])))) for i in range(60)]
+    out = {r.doc_id: r for r in language.classify(docs(texts), learned).collect()}
+    for i, t in texts:
+        raw, size = t.lower().encode(), {}
+        for lang, own in learned.items():
+            coder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            size[lang] = sum(len(coder.compress(raw[a : a + language.BLOCK])) for a in range(0, len(raw), language.BLOCK))
+        best = min(size.values())
+        assert size[out[i].lang_pred] == best
+        over = sorted(x / best - 1 for x in size.values())
+        assert out[i].rejected == (over[1] < language.MARGIN) and abs(out[i].score - 1 / sum(np.exp(-x / language.MARGIN) for x in over)) < 1e-9
