@@ -22,9 +22,12 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below spark.checkpoint.dir; only if that is unset (tests) below a temporary folder."""
+    """A fresh folder name below spark.checkpoint.dir; only if that is unset, and all runs on this machine, below a
+    temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a shared folder")
         base = tempfile.mkdtemp(prefix="keyloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
@@ -41,6 +44,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
