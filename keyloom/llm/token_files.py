@@ -10,10 +10,12 @@ A task writes under a name of its own attempt and then renames, so a task that r
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +39,13 @@ def open_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def special_cut(own) -> Callable[[str], list[str | bytes]]:
-    """common.pieces, with each special token of a tokenizer as a piece of its own: the library cuts there before all
+@lru_cache
+def special_cut(path: str) -> Callable[[str], list[str | bytes]]:
+    """common.pieces, with each special token of a tokenizer file as a piece of its own: the library cuts there before all
     else, so white space before one is at the end of a text."""
-    cut = re.compile("(" + "|".join(sorted(map(re.escape, (t.content for t in own.get_added_tokens_decoder().values())), key=len, reverse=True)) + ")").split
+    with open(path, encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    cut = re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")").split
 
     def of(text: str) -> list[str | bytes]:
         if "<|" not in text:
