@@ -1,8 +1,9 @@
 """License scans (operator 8): sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every text is searched for licence lines (a trigger word, or the SPDX tag); each such line with the line after it, and
-the whole of a licence file, becomes a sparse vector over the words of the templates, weighted by inverse document
-frequency over all texts. The best template at or above the threshold is the file's own licence. A licence file also
+Every text is searched for licence lines (a trigger word, or the SPDX tag). From each such line, and from the line before,
+passages of 1, 2, 4 ... PASSAGE lines are taken, of a licence file also passages from its start and the whole; each becomes a sparse
+vector over the words of the templates, weighted by inverse document frequency over all texts. The best template at or
+above the threshold is the file's own licence. A licence file also
 speaks for its directory: a file without a licence of its own takes that of the nearest ancestor directory that has one.
 """
 
@@ -18,32 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, columns, written
+from .license_texts import TEMPLATES
 
-#: What headers and licence files say, by SPDX identifier.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
-    ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "CC0-1.0": ("Released under CC0 1.0", "This work is dedicated to the public domain under CC0 1.0 Universal"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2",),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3",),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3",),
-    "MIT": (
-        "Released under the MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-    "LicenseRef-Proprietary": ("All rights reserved",),
-}
-TRIGGER = re.compile(r"licen[cs]e|rights reserved|public domain|creative commons|permission is hereby|redistribution and use|\bcc0\b|\bcc by\b", re.I)
+#: Lines of the longest passage that is compared (a licence file is also compared whole).
+PASSAGE = 64
+TRIGGER = re.compile(
+    r"licen[cs]e|rights reserved|public domain|creative commons|permission (is|to use)\b|redistribution and use|is free software|source code form|provided 'as-is'|\bmit no attribution\b|\bcc0\b|\bcc by\b", re.I
+)
 SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 LICENSE_FILE = r"(^|/)(LICEN[CS]E|COPYING|NOTICE)(\.[a-z]+)?$"
 THRESHOLD = 0.7
@@ -72,7 +54,11 @@ class Matcher:
     def __init__(self, texts: int, frequency: dict[str, int]) -> None:
         self.idf = {w: math.log((1 + texts) / (1 + frequency.get(w, 0))) + 1 for w in VOCABULARY}
         self.unseen = math.log(1 + texts) + 1
-        self.templates = [(name, self.vector(t)) for name, own in sorted(TEMPLATES.items()) for t in own]
+        self.names = [name for name, own in TEMPLATES.items() for _ in own]
+        self.holders: dict[str, list[tuple[int, float]]] = {}
+        for i, t in enumerate(t for own in TEMPLATES.values() for t in own):
+            for w, x in self.vector(t).items():
+                self.holders.setdefault(w, []).append((i, x))
         self.known: dict[str, tuple[str | None, float]] = {}
 
     def vector(self, text: str) -> dict[str, float]:
@@ -87,31 +73,42 @@ class Matcher:
         if text not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
-            v = self.vector(text)
-            score, name = max(((sum(x * t.get(w, 0.0) for w, x in v.items()), name) for name, t in self.templates), key=lambda x: (x[0], x[1]))
+            v, scores = self.vector(text), {}
+            for w, x in v.items():  # by the templates that have the word
+                for i, y in self.holders.get(w, ()):
+                    scores[i] = scores.get(i, 0.0) + x * y
+            score, name = max(((s, self.names[i]) for i, s in scores.items()), default=(0.0, ""))
             self.known[text] = (name, score) if score >= THRESHOLD else (None, score)
         return self.known[text]
 
     def license(self, text: str, whole: bool) -> tuple[str | None, float]:
-        """The best licence named in a text; whole: the text as such counts too (a licence file)."""
+        """The best licence named in a text; whole: the text as such counts too (a licence file). An SPDX tag is a name
+        and needs no likeness. Of equal scores the greatest name counts."""
         if m := SPDX.search(text):
             return m[1], 1.0
-        options, lines = [], None
-        if TRIGGER.search(text):
-            lines = text.split("\n")
-            for i, line in enumerate(lines):
-                if TRIGGER.search(line):
-                    options += [line, " ".join(lines[i : i + 2])]
+        lines, found = text.split("\n") if whole or TRIGGER.search(text) else [], []
+        starts = {0} if whole else set()
+        for i, line in enumerate(lines):
+            if TRIGGER.search(line):
+                starts.update((max(0, i - 1), i))
+        for i in starts:
+            size = 1
+            while True:
+                found.append(self.best(" ".join(lines[i : i + size])))
+                if size >= PASSAGE or i + size >= len(lines):
+                    break
+                size *= 2
         if whole:
-            options.append(text)
-        found = [x for o in options if (x := self.best(o))[0]]
+            found.append(self.best(text))
+        found = [x for x in found if x[0]]
         return max(found, key=lambda x: (x[1], x[0])) if found else (None, 0.0)
 
 
 def own_licenses(files: DataFrame, id_col: str | None = None) -> DataFrame:
     """path, license, score (cosine), is_license_file, and id_col if given, of every row of files (path, text).
 
-    Null text: none. An SPDX tag goes before all else."""
+    Null text: none. An SPDX tag goes before all else. A very long text is split into lines once; each passage is
+    bounded, but for the whole of a licence file."""
     names = ["path", "text", *[id_col] * bool(id_col)]
     files = columns(files, *names)
     counted = frequencies(files)

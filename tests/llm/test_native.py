@@ -1,5 +1,7 @@
+import math
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -132,8 +134,51 @@ def test_licenses(spark):
         key=str,
     )
     assert licenses.scan(spark.createDataFrame([], "path string, text string")).count() == 0
-    every = {n: licenses.Matcher(100, {}).license(t, False)[0] for n, own in licenses.TEMPLATES.items() for t in own[:1]}
-    assert all(n == found for n, found in every.items() if licenses.TRIGGER.search(licenses.TEMPLATES[n][0]))
+
+
+def plain_best(text, texts):
+    """The greatest cosine of a text to any template, with weights from these texts."""
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    known = {w for own in licenses.TEMPLATES.values() for t in own for w in words(t)}
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in words(t) for t in texts))) + 1 for w in known}
+
+    def unit(t):
+        v = {w: (words(t).count(w) * idf[w] if w in known else math.log(1 + len(texts)) + 1) for w in words(t)}
+        return {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+
+    own = unit(text)
+    return max((sum(x * unit(t).get(w, 0) for w, x in own.items() if w in known), name) for name, ts in licenses.TEMPLATES.items() for t in ts)
+
+
+def test_cosines_match_plain_ones():
+    rnd = random.Random(5)
+    some = [t for own in licenses.TEMPLATES.values() for t in own]
+    texts = [" ".join(rnd.choice(some).split()[rnd.randrange(3) : rnd.randrange(4, 60)] + [f"x{rnd.randrange(50)}" for _ in range(rnd.randrange(4))]) for _ in range(60)]
+    frequency = {w: sum(w in re.findall("[a-z0-9]+", t.lower()) for t in texts) for w in licenses.VOCABULARY}
+    own = licenses.Matcher(len(texts), frequency)
+    for t in texts:
+        name, score = own.best(t)
+        plain, label = plain_best(t, texts)
+        assert abs(score - plain) < 1e-9 and (name == label if plain >= licenses.THRESHOLD else name is None)
+
+
+def test_every_template_is_found_in_a_file():
+    own = licenses.Matcher(100, {"the": 90, "of": 80, "and": 80, "to": 70})
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            wrapped = "\n".join(textwrap.wrap(t, 78))
+            assert own.license(f"Copyright (c) 2020 Some One\n\n{wrapped}\n", True) [0] == name, t
+            assert own.license(t, True)[0] == name
+
+
+def test_known_licence_files():
+    own = licenses.Matcher(1000, {"the": 900, "of": 900, "and": 900, "a": 800, "this": 700, "is": 700, "to": 700})
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works."
+    lgpl = "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\nimport os"
+    isc = "ISC License\n\nCopyright (c) 2004, A B\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    bsd = "Copyright 2020 X\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["BSD-2-Clause"][2], 70))
+    assert [own.license(t, w)[0] for t, w in ((gpl, True), (gpl, False), (lgpl, False), (isc, True), ("MIT License", True), ("MIT License", False), (bsd, True), (bsd, False))] == ["GPL-3.0", "GPL-3.0", "LGPL-2.1", "ISC", "MIT", "MIT", "BSD-2-Clause", "BSD-2-Clause"]
+    assert own.license("nothing of the kind, though a license is a topic of this text and others like it", False) == (None, 0.0)
 
 
 @pytest.mark.parametrize(("lines", "words"), [(2, 30), (3, 20), (4, 15), (5, 12), (6, 10), (12, 5), (50, 1), (1, 55), (25, 2)])
