@@ -63,6 +63,28 @@ def decrypt(sealed: Column, key: Column) -> Column:
     return F.aes_decrypt(sealed, key, F.lit("GCM"))
 
 
+def xor_words(a: Column, b: Column) -> Column:
+    """Exclusive or of binaries, as long as the first; b is at least as long. By words of seven bytes."""
+    digits = lambda x: F.regexp_extract_all(F.hex(x), F.lit("(?:..){1,7}"), F.lit(0))
+    number = lambda h: F.conv(h, 16, 10).cast("long")
+
+    def word(x: Column, y: Column) -> Column:
+        return F.lpad(F.hex(number(x).bitwiseXOR(number(F.substring(y, F.lit(1), F.length(x))))), F.length(x), F.lit("0"))
+
+    words = F.slice(digits(b), F.lit(1), F.size(digits(a)))
+    return F.unhex(F.array_join(F.zip_with(digits(a), words, word), ""))
+
+
+def ctr(data: Column, key: Column, nonce: Column, start: int = 0) -> Column:
+    """AES-CTR, both ways: data xor the ciphers of nonce (12 bytes) and a block counter (4 bytes, most significant
+    first, from start, modulo 2**32). The same nonce must never serve twice under one key."""
+    blocks = F.sequence(F.lit(start).cast("long"), F.lit(start) + F.floor((F.length(data) + 15) / 16).cast("long"))
+    counter = lambda i: F.unhex(F.lpad(F.hex(F.pmod(i, F.lit(1 << 32))), 8, "0"))
+    # the cipher of one block; the second half of what ECB gives is padding
+    stream = F.transform(blocks, lambda i: F.hex(F.substring(F.aes_encrypt(F.concat(nonce, counter(i)), key, F.lit("ECB"), F.lit("PKCS")), 1, 16)))
+    return xor_words(data, F.unhex(F.array_join(stream, "")))
+
+
 def epoch_to_iso(seconds: Column) -> Column:
     """UTC time of epoch seconds; expects the session's time zone to be UTC."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import combinations_with_replacement
 
 
 def log2_add(a: float, b: float) -> float:
@@ -53,22 +54,31 @@ def max_per_shard(batch: int, shards: int, log2_fail: float = -40) -> int:
     return least(-(-batch // shards), batch, lambda n: log2_tail(n, batch, 1 / shards) < log2_fail)
 
 
-def real_per_bucket(bucket: int, ways: int, buckets: int, log2_fail: float = -60) -> int:
-    """Most rows of `bucket` slots that may be filled so that no slot group overflows when split `ways` ways, over so
-    many buckets, but with 2**log2_fail."""
-    limit = log2_fail - math.log2(max(1, buckets))
-    filled = least(0, bucket, lambda empty: log2_tail(bucket // ways, bucket - empty, 1 / ways) < limit)
-    return bucket - filled
+def real_per_bucket(bucket: int, ways: int, log2_fail: float = -60) -> int:
+    """Most rows of a bucket that may be filled so that, when as many such buckets are dealt anew `ways` ways, one
+    overflows with less than 2**log2_fail."""
+    return bucket - least(1, bucket - 1, lambda empty: log2_tail(bucket, (bucket - empty) * ways, 1 / ways) < log2_fail)
 
 
-def shard_factors(shards: int) -> list[int] | None:
-    """Factors from 2 to 8, the largest first, whose product is the count; None if there are none."""
-    out, left = [], shards
-    for f in range(8, 1, -1):
-        while left % f == 0:
-            out.append(f)
-            left //= f
-    return out if left == 1 and out else None
+#: The most shards of one load, the factors that a pass may split by, and the one count whose factors
+#: are not the closest ones.
+MOST_SHARDS, FACTORS, OTHER_FACTORS = 64, range(2, 9), {24: [3, 8]}
+
+
+def _factors(shards: int) -> list[int] | None:
+    """As few factors as possible and, of as many, those closest to each other; None if there are none."""
+    for n in range(1, 7):
+        if found := [c for c in combinations_with_replacement(FACTORS, n) if math.prod(c) == shards]:
+            return OTHER_FACTORS.get(shards) or list(min(found, key=lambda c: c[-1] - c[0]))
+    return None
+
+
+def shard_factors(shards: int) -> list[int]:
+    """Ascending factors from 2 to 8 whose product is the count. An error for one shard, for more than 64, and for
+    counts with a greater prime factor."""
+    if not 2 <= shards <= MOST_SHARDS or (found := _factors(shards)) is None:
+        raise ValueError(f"{shards} shards: 2 to {MOST_SHARDS} are possible, without prime factors above 7")
+    return found
 
 
 def suitable_shards(threads: int, empty: bool = False) -> int:
@@ -76,7 +86,7 @@ def suitable_shards(threads: int, empty: bool = False) -> int:
     empty the next lower count that has factors."""
     if threads <= 4:
         return 2
-    n = min(threads // 2, 64)
-    while not empty and shard_factors(n) is None:
+    n = min(threads // 2, MOST_SHARDS)
+    while not empty and _factors(n) is None:
         n -= 1
     return n

@@ -47,17 +47,16 @@ def common_suffix_length(a: Column, b: Column) -> Column:
 def tree_nodes(size: Column, path: Column) -> Column:
     """Array of struct(level, node): nodes from the root to the leaf `path` of a tree with `size` leaves, kept level by level.
 
-    Level i starts at 2**i - 1 and takes the low i bits of the path. If size is no power of two the last level
-    misses leaves: only paths whose low bits name an existing one go there, and those before it are counted."""
-    levels = ceil_log2(size) + 1
-    one = F.lit(1).cast("long")
-    node = lambda i: F.call_function("shiftleft", one, i) - 1 + path.bitwiseAND(F.call_function("shiftleft", one, i) - 1)
-    return F.transform(F.sequence(F.lit(0), levels - 1), lambda i: F.struct(i.alias("level"), node(i).alias("node")))
-
-
-def limbs_of_long(x: Column) -> list[Column]:
-    """Limbs of a non-negative long."""
-    return [x.bitwiseAND(F.lit(_MASK)), F.shiftright(x, 32), *[F.lit(0).cast("long")] * 6]
+    Level i starts at 2**i - 1 and takes the low i bits of the path. If size is no power of two the last level misses
+    2**last - size nodes: paths whose sibling there would be beyond the leaves end one level earlier, and the nodes of
+    the second half of the last level move up by the missing ones. All nodes are below 2 * size - 1."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    last = ceil_log2(size)
+    half = F.when(last > 0, bit(last - 1)).otherwise(F.lit(0))
+    depth = F.when(path.bitwiseOR(half) < size, last).otherwise(last - 1)
+    missing = F.when(path >= half, bit(last) - size).otherwise(F.lit(0))
+    node = lambda i: bit(i) - 1 + path.bitwiseAND(bit(i) - 1) - F.when(i == last, missing).otherwise(F.lit(0))
+    return F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(i.alias("level"), node(i).alias("node")))
 
 
 @F.pandas_udf(StructType([StructField(x, LongType()) for x in LIMBS]))
@@ -97,10 +96,5 @@ def carried(df: DataFrame, sums: Iterable[str] = LIMBS) -> DataFrame:
     return df.drop("_x", *[f"_k{n}" for n in sums])
 
 
-def sum_limbs(sign: Column, limbs: Iterable[str] = LIMBS) -> list[Column]:
-    """Signed sums of limbs, exact below 2**31 rows a group."""
-    return [F.sum(sign * F.col(x)).alias(x) for x in limbs]
-
-
 def is_zero(limbs: Iterable[str] = LIMBS) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x) == 0 for x in limbs])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.folders import checkpoint_dir
 from .order import Running, position, running
 
 
@@ -109,9 +110,7 @@ def sorted_rank(df: DataFrame, *columns: str, name: str = "rank") -> DataFrame:
     parts = df.orderBy(*columns).withColumn("_id", F.monotonically_increasing_id())
     parts = parts.withColumns({"_part": F.shiftright("_id", 33), "_at": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_id")
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-"))
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     parts = parts.checkpoint()
     base = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     base = base.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))

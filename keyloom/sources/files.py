@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.bytes import is_address
+from .folders import Pointer, delete, names
 
 LOG_SCHEMA = "block BIGINT, tx_hash STRING, log_idx BIGINT, from_addr STRING, to_addr STRING, value STRING, ts STRING"
 
@@ -16,13 +17,20 @@ LOG_SCHEMA = "block BIGINT, tx_hash STRING, log_idx BIGINT, from_addr STRING, to
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated transfer log with ord. A malformed line is an error.
 
-    ord follows the files' names and the order of lines in each."""
-    rows = spark.read.csv(path, sep="\t", schema=LOG_SCHEMA, mode="FAILFAST")
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    ord follows the parts that append_log wrote, else the files' names, and the order of lines in each, however Spark
+    deals files to tasks: splits are ranked by file and place (one small row for each), lines within them in order."""
+    rows = spark.read.csv(path, sep="\t", schema=LOG_SCHEMA, mode="FAILFAST", recursiveFileLookup=True)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    own = rows.select("*", at.alias("_split")).withColumn("_line", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    splits = own.select("_split").distinct().withColumn("_rank", F.row_number().over(W.orderBy("_split")) - 1)
+    return own.join(splits, "_split").withColumn("ord", F.shiftleft(F.col("_rank").cast("long"), 33) + F.col("_line")).drop("_split", "_line", "_rank")
 
 
-def append_log(log: DataFrame, path: str) -> None:
-    log.select(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]).write.mode("append").csv(path, sep="\t")
+def append_log(log: DataFrame, path: str, order: str | None = None) -> None:
+    """Adds a part to a log, after all that it has. order: a column that the lines are sorted by, else they stay as they are."""
+    n = 1 + max((int(x.removeprefix("part=")) for x in names(log.sparkSession, path) if x.startswith("part=")), default=-1)
+    own = log.orderBy(order) if order else log
+    own.select(*[c.split()[0] for c in LOG_SCHEMA.split(", ")]).write.csv(f"{path.rstrip('/')}/part={n:012d}", sep="\t")
 
 
 def heartbeat(spark: SparkSession, block: int) -> DataFrame:
@@ -44,9 +52,13 @@ def initial_last_block(header: tuple[int, int, int], lag: int = 10) -> int:
     return header[0] + lag
 
 
-def write_balances(balances: DataFrame, path: str, block: int, idx: int) -> None:
-    """balances (addr, balance, and _key to sort by, greatest first) as one file below path, header first."""
+def write_balances(balances: DataFrame, path: str, block: int, idx: int, by: str = "balance") -> None:
+    """balances (addr, balance, and _key to sort by, greatest first) as one file below path, header first.
+
+    by="addr": in the order of addresses, as a store holds them; _key isn't needed then."""
     spark = balances.sparkSession
+    if by == "addr":
+        balances = balances.withColumn("_key", F.lit(""))
     head = spark.createDataFrame([(0, "", f"{block} {idx} {balances.count()}")], "part int, key string, value string")
     body = balances.select(F.lit(1).alias("part"), F.col("_key").cast("string").alias("key"), F.concat_ws(" ", "addr", "balance").alias("value"))
     # One file is the format; the sort is global, and only its last step is a single writer.
@@ -77,32 +89,21 @@ def generated(spark: SparkSession, n: int, row: Callable[[F.Column], list[F.Colu
 
 
 def handed_to(df: DataFrame, sink: Callable[[Iterator], None]) -> None:
-    """A virtual sink: every partition's rows go to a callback on the executors."""
+    """A virtual sink: every partition's rows go to a callback on the executors. A part may come again after a failure."""
     df.foreachPartition(sink)
 
 
 class Snapshots:
-    """Several tables as one version: written to `v=N` folders, then published by renaming a pointer file.
+    """Several tables as one version: written to `v=N` folders, then published by moving a pointer.
 
     Readers see the version that the pointer names, whole or not at all. All paths go through Hadoop's file systems."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._io = jvm.org.apache.commons.io.IOUtils
+        self.spark, self.root, self.pointer = spark, root.rstrip("/"), Pointer(spark, root)
 
     def meta(self) -> dict | None:
         """What was published last: version and the writer's own entries."""
-        at = self._path(f"{self.root}/current.json")
-        if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.pointer.read()
 
     def read(self, name: str) -> DataFrame:
         """A table of the published version."""
@@ -115,21 +116,12 @@ class Snapshots:
         version = (self.meta() or {"version": 0})["version"] + 1
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/v={version}/{name}")
-        draft, at = self._path(f"{self.root}/.draft-{version}"), self._path(f"{self.root}/current.json")
-        stream = self._fs.create(draft, True)
-        stream.write(bytearray(json.dumps({"version": version, **entries}).encode()))
-        stream.close()
-        context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        overwrite = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = overwrite
-        context.rename(draft, at, options)
+        self.pointer.write({"version": version, **entries})
         return version
 
     def vacuum(self, keep: int = 2) -> None:
         """Deletes all but the last versions."""
         version = (self.meta() or {"version": 0})["version"]
-        for status in self._fs.listStatus(self._path(self.root)):
-            name = status.getPath().getName()
+        for name in names(self.spark, self.root):
             if name.startswith("v=") and int(name[2:]) <= version - keep:
-                self._fs.delete(status.getPath(), True)
+                delete(self.spark, f"{self.root}/{name}")

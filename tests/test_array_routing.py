@@ -81,7 +81,7 @@ def test_binomial_sizes():
     assert capacity.max_per_shard(1, 8) == 1
     assert capacity.suitable_shards(3) == 2 and capacity.suitable_shards(1000) <= 64
     assert capacity.shard_factors(22) is None and capacity.shard_factors(12) == [6, 2]
-    assert 0 < capacity.real_per_bucket(4096, 4, 64) < 4096
+    assert 0 < capacity.real_per_bucket(4096, 4) < 4096
     assert abs(capacity.log2_add(3, 3) - 4) < 1e-12
 
 
