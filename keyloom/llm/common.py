@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,48 +10,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import names
+from ..sources.folders import work_folder as shared_dir
+
 #: ASCII white space; words are the maximal runs of anything else (str.split() would also cut at other spaces).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one step of the Python side holds at a time.
 STEP_CHARS = 4_000_000
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name below spark.checkpoint.dir; only if that is unset, and all runs on this machine, below a
-    temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
-            raise RuntimeError("on a cluster spark.checkpoint.dir has to name a shared folder")
-        base = tempfile.mkdtemp(prefix="keyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    return path
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Removes a folder through Hadoop's file systems, so that it works for any scheme."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is over; nothing is left to do it with
-            return
+    return bool(names(spark, path))
 
 
 def written(df: DataFrame) -> DataFrame:
