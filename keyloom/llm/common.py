@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,58 +47,76 @@ def batches(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[
 
 
 _PAIR = re.compile(r"\s \s")
+#: ASCII punctuation.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LINES = re.compile(r"\S+(\n\S+)+")
 _CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
 
 
-def pieces(text: str) -> list[str | bytes]:
+def pieces(text: str) -> list[str]:
     """Cuts a text where the byte-level split pattern surely starts anew: before a blank that follows or precedes
-    something else than white space. Each piece can be tokenized on its own. A str stands for a blank and that str
-    (most pieces; no string has to be made for the blank), bytes for just that text. See whole()."""
+    something else than white space. Each piece can be tokenized on its own. A piece stands for a blank and itself (most
+    do; no string has to be made for the blank), or, if it starts with a blank, for just what follows that. See whole()."""
     parts = text.split(" ")
     if "" in parts or _PAIR.search(text):
-        return [x.encode("utf-8", "surrogatepass") for x in _CUT.split(text) if x]
-    parts[0] = parts[0].encode("utf-8", "surrogatepass")
+        return [" " + x for x in _CUT.split(text) if x]
+    parts[0] = " " + parts[0]
     return parts
 
 
-def whole(piece: str | bytes) -> str:
+def whole(piece: str) -> str:
     """The text that a piece stands for."""
-    return " " + piece if isinstance(piece, str) else piece.decode("utf-8", "surrogatepass")
+    return piece[1:] if piece[:1] == " " else " " + piece
 
 
 class Memo:
-    """Results by piece. Unseen pieces of a step are handled together; the memo starts anew beyond its limit.
+    """Results (bytes) by piece. The pieces of a step are first told apart by Arrow, so each is looked up once; unseen
+    ones are handled together, and results gathered by Arrow again. The memo starts anew beyond its limit.
 
-    A mark after a Latin-1 letter is a match of its own in all patterns here, so `word.` is put together from `word`
-    and `.`, which makes unseen pieces rarer. blanks: pieces are those of pieces(), else plain strings."""
+    Marks after a Latin-1 letter, and a line end between other things than white space, are matches of their own in all
+    patterns here, so `word.` is put together from `word` and `.`, which makes unseen pieces rarer. blanks: pieces are those of pieces(), else plain strings."""
 
     def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 1_200_000, blanks: bool = True) -> None:
         self.make, self.limit, self.blanks, self.known = make, limit, blanks, {}
 
-    def __call__(self, texts: list[list]) -> list[bytes]:
+    def __call__(self, texts: list[list[str]]) -> list[bytes]:
         known = self.known
         if len(known) > self.limit:
             known.clear()
-        get, out, fresh = known.get, [], set()
-        for x in texts:
-            got = list(map(get, x))
-            if None in got:
-                fresh.update([p for p, v in zip(x, got, strict=True) if v is None])
-                out.append(got)
-            else:
-                out.append(b"".join(got))
-        if fresh:
-            alone = (lambda mark: mark.encode()) if self.blanks else (lambda mark: mark)
-            split = [p for p in fresh if isinstance(p, str) and len(p) > 1 and p[-1] in ".,;:!?" and p[-2].isalpha() and p[-2] < "\u0130"]
-            fresh.difference_update(split)
-            fresh.update([q for p in split for q in (p[:-1], alone(p[-1])) if q not in known])
-            todo = list(fresh)
-            known.update(zip(todo, self.make(list(map(whole, todo)) if self.blanks else todo), strict=True))
-            known.update([(p, known[p[:-1]] + known[alone(p[-1])]) for p in split])
-        for i, got in enumerate(out):
-            if isinstance(got, list):
-                out[i] = b"".join([known[p] if v is None else v for p, v in zip(texts[i], got, strict=True)])
-        return out
+        coded = pa.array([p for x in texts for p in x], pa.large_string()).dictionary_encode()
+        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(known.get, own))
+        if new := [i for i, v in enumerate(got) if v is None]:
+            fresh = [own[i] for i in new]
+            self._learn(fresh)
+            for i, p in zip(new, fresh, strict=True):
+                got[i] = known[p]
+        found = pa.array(got, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1] if len(found) else np.zeros(1, dtype=np.int64)
+        data = memoryview(found.buffers()[2] or b"") if len(found) else memoryview(b"")
+        cut = ends[np.cumsum([0, *map(len, texts)])].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def _learn(self, fresh: list[str]) -> None:
+        known, alone, todo = self.known, " " if self.blanks else "", set(fresh)
+        lines = []
+        if self.blanks:
+            lines = [(p, [x if i == 0 else " " + x for i, x in enumerate(p.split("\n"))]) for p in fresh if _LINES.fullmatch(p, 1 if p[0] == " " else 0)]
+            todo.difference_update([p for p, _ in lines])
+            todo.update([x for _, own in lines for x in own if x not in known])
+            if lines and " \n" not in known:
+                todo.add(" \n")
+        # a run of marks after a letter; a bar may be a part of a special token
+        bare = [(p, q) for p in todo if p[-1:] in _MARKS and (q := p.rstrip(_MARKS)) and q[-1].isalpha() and q[-1] < "\u0130" and "|" not in p]
+        split = [(p, q, alone + p[len(q) :]) for p, q in bare]
+        todo.difference_update([p for p, _ in bare])
+        todo.update([q for _, q in bare if q not in known], [m for m in {m for *_, m in split} if m not in known])
+        order = list(todo)
+        known.update(zip(order, self.make([p[1:] if p[:1] == " " else " " + p for p in order] if self.blanks else order), strict=True))
+        for p, q, m in split:
+            known[p] = known[q] + known[m]
+        for p, own in lines:
+            known[p] = known[" \n"].join([known[x] for x in own])
 
 
 def sampled(df: DataFrame, hashed: Column, share: float | Column) -> DataFrame:

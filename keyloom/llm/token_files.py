@@ -40,24 +40,24 @@ def open_tokenizer(path: str):
 
 
 @lru_cache
-def special_cut(path: str) -> Callable[[str], list[str | bytes]]:
+def special_cut(path: str) -> Callable[[str], list[str]]:
     """common.pieces, with each special token of a tokenizer file as a piece of its own: the library cuts there before all
     else, so white space before one is at the end of a text."""
     with open(path, encoding="utf-8") as f:
         special = [t["content"] for t in json.load(f)["added_tokens"]]
     cut = re.compile("(" + "|".join(sorted(map(re.escape, special), key=len, reverse=True)) + ")").split
 
-    def of(text: str) -> list[str | bytes]:
+    def of(text: str) -> list[str]:
         if "<|" not in text:
             return pieces(text)
-        return [p for i, x in enumerate(cut(text)) for p in ([x.encode()] if i % 2 else pieces(x))]
+        return [p for i, x in enumerate(cut(text)) for p in ([" " + x] if i % 2 else pieces(x))]
 
     return of
 
 
 _memos: dict[tuple[str, int, bool], Memo] = {}
 #: Pieces that the library encodes in one call, with a special token between them.
-TOGETHER = 500
+TOGETHER = 50
 SEPARATOR = "<|endoftext|>"
 
 

@@ -19,7 +19,7 @@ RANKS = P.path("byte_bpe_50k.tiktoken")
 
 def random_texts(n, seed=1):
     rnd = random.Random(seed)
-    parts = ["a", "b", "T", "é", "É", " ", "  ", "\n", "\t", ".", ",", "'s", "'re", "12", "$", "日", "<|endoftext|>", "<|", "Σ", "İ", " ", "\x1c", "!?", "the", "word"]
+    parts = ["a", "b", "T", "é", "É", " ", "  ", "\n", "\t", ".", ",", "'s", "'re", "12", "$", "日", "<|endoftext|>", "<|", "Σ", "İ", " ", "\x1c", "!?", "the", "word", "###", "_", "x\ny", "'", "-", "|", "(Q)"]
     return ["".join(rnd.choice(parts) for _ in range(rnd.randrange(16))) for _ in range(n)]
 
 
