@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, batches, columns, pieces
+from .common import Memo, columns, steps
 
 NONE = np.int32(2**31 - 1)
 LONG = 1024  # bytes of a piece from which on blocks of ranks are used
@@ -195,8 +195,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, memo = coder(path, pattern)
-        for part, texts in batches(it, text_col):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(memo([pieces(t) for t in texts]), pa.binary())], [id_col, "ids"])
+        for part in steps(it, text_col):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(memo(part.column(1)), pa.binary())], [id_col, "ids"])
 
     return docs.mapInArrow(run, f"`{id_col}` {docs.schema[0].dataType.simpleString()}, ids binary")
 
@@ -221,8 +221,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, memo = coder(path, pattern)
-        for part, texts in batches(it):
-            out = memo([pieces(t) for t in texts])
+        for part in steps(it):
+            out = memo(part.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),

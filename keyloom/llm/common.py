@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,8 +32,8 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches with at most STEP_CHARS bytes of text (or one row) and their texts, null as empty."""
+def steps(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with at most STEP_CHARS bytes of text (or one row)."""
     for batch in it:
         col = batch.column(batch.schema.get_field_index(text))
         size = pc.binary_length(col).fill_null(0).to_pylist()
@@ -40,12 +41,17 @@ def batches(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[
         for i, n in enumerate([*size, None]):
             if n is None or (total and total + n > STEP_CHARS):
                 if i > start:
-                    part = batch.slice(start, i - start)
-                    yield part, [x or "" for x in col.slice(start, i - start).to_pylist()]
+                    yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n or 0
 
 
+def batches(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """steps() and their texts, null as empty."""
+    for part in steps(it, text):
+        yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
 _PAIR = re.compile(r"\s \s")
 #: ASCII punctuation.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -69,52 +75,105 @@ def whole(piece: str) -> str:
     return piece[1:] if piece[:1] == " " else " " + piece
 
 
-class Memo:
-    """Results (bytes) by piece. The pieces of a step are first told apart by Arrow, so each is looked up once; unseen
-    ones are handled together, and results gathered by Arrow again. The memo starts anew beyond its limit.
+#: For Arrow: texts that begin or end with a blank, or hold one between white space.
+_ODD = r"^$|^ | $|[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  "
 
-    Marks after a Latin-1 letter, and a line end between other things than white space, are matches of their own in all
-    patterns here, so `word.` is put together from `word` and `.`, which makes unseen pieces rarer. blanks: pieces are those of pieces(), else plain strings."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 1_200_000, blanks: bool = True) -> None:
-        self.make, self.limit, self.blanks, self.known = make, limit, blanks, {}
+class Memo:
+    """Results (bytes) of texts, put together from those of their pieces, which are kept. The memo starts anew beyond its limit.
+
+    Arrow cuts the texts of a step at blanks and tells the pieces apart, so that each is looked up once; unseen ones are
+    handled together, and Arrow gathers the results. Where that cut isn't right for a text, cut() gives its pieces.
 
-    def __call__(self, texts: list[list[str]]) -> list[bytes]:
+    Marks after a Latin-1 letter, and a line end between other things than white space, are matches of their own in all
+    patterns here, so `word.` is put together from `word` and `.`, which makes unseen pieces rarer. blanks: pieces are
+    those of pieces(), else what is between white space, of which a text is a list."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int = 1_000_000, blanks: bool = True, cut: Callable[[str], list[str]] = pieces, odd: str = _ODD) -> None:
+        self.make, self.limit, self.blanks, self.cut, self.odd, self.known = make, limit, blanks, cut, odd, {}
+
+    def __call__(self, texts: pa.Array) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        on = gc.isenabled()
+        gc.disable()  # many tuples and lists are made here, and no cycles
+        try:
+            return self._of(texts.fill_null(""))
+        finally:
+            if on:
+                gc.enable()
+
+    def _of(self, texts: pa.Array) -> list[bytes]:
+        if not self.blanks:
+            return self._gathered(pc.split_pattern(pc.replace_substring(texts, "\n", " "), " "), [])
+        odd = pc.match_substring_regex(texts, self.odd)
+        plain, rest = texts.filter(pc.invert(odd)), [self.cut(t) for t in texts.filter(odd).to_pylist()]
+        out = iter(self._gathered(pc.split_pattern(plain, " "), rest))
+        first = [next(out) for _ in range(len(plain))]
+        own, more = iter(first), out
+        return [next(more if x else own) for x in odd.to_pylist()]
+
+    def _values(self, own: list[str]) -> list[bytes]:
+        """Results of pieces, in order."""
         known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        coded = pa.array([p for x in texts for p in x], pa.large_string()).dictionary_encode()
-        own = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         got = list(map(known.get, own))
         if new := [i for i, v in enumerate(got) if v is None]:
-            fresh = [own[i] for i in new]
-            self._learn(fresh)
-            for i, p in zip(new, fresh, strict=True):
-                got[i] = known[p]
-        found = pa.array(got, pa.large_binary()).take(coded.indices)
-        ends = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1] if len(found) else np.zeros(1, dtype=np.int64)
-        data = memoryview(found.buffers()[2] or b"") if len(found) else memoryview(b"")
-        cut = ends[np.cumsum([0, *map(len, texts)])].tolist()
-        return [data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            self._learn(list(dict.fromkeys([own[i] for i in new])))
+            for i in new:
+                got[i] = known[own[i]]
+        return got
+
+    def _gathered(self, lists: pa.Array, rest: list[list[str]]) -> list[bytes]:
+        """Results of texts: lists of pieces cut by Arrow (with blanks, the first piece of each stands for itself), then others."""
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(int(ends[0]) if len(ends) else 0, int(ends[-1] - ends[0]) if len(ends) else 0).dictionary_encode()
+        ends -= ends[:1]
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        own = coded.dictionary.to_numpy(zero_copy_only=False)
+        first, n = ends[:-1] if self.blanks else ends[:0], len(own)
+        starts = [" " + x for x in own[at[first]].tolist()]
+        at[first] = n + np.arange(len(first))
+        used = np.flatnonzero(np.bincount(at, minlength=n + len(first))[:n])  # some pieces are only first ones
+        place = np.zeros(n + len(first), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        place[n:] = len(used) + np.arange(len(first))
+        flat = [p for x in rest for p in x]
+        values = pa.array(self._values(own[used].tolist() + starts + flat), pa.large_binary())
+        index = np.concatenate([place[at], len(used) + len(first) + np.arange(len(flat))])
+        found = values.take(pa.array(index))
+        if not len(found):
+            return [b""] * (len(lists) + len(rest))
+        cut = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1]
+        size = np.concatenate([np.diff(ends), np.array([len(x) for x in rest], dtype=np.int64)])
+        bounds = cut[np.concatenate([[0], np.cumsum(size)])].tolist()
+        data = memoryview(found.buffers()[2] or b"")
+        return [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def _learn(self, fresh: list[str]) -> None:
-        known, alone, todo = self.known, " " if self.blanks else "", set(fresh)
-        lines = []
-        if self.blanks:
-            lines = [(p, [x if i == 0 else " " + x for i, x in enumerate(p.split("\n"))]) for p in fresh if _LINES.fullmatch(p, 1 if p[0] == " " else 0)]
+        """Adds distinct unseen pieces."""
+        known, alone = self.known, " " if self.blanks else ""
+        lines, todo = [], fresh
+        if self.blanks and (lines := [p for p in fresh if "\n" in p and _LINES.fullmatch(p, p[0] == " ")]):
+            lines = [(p, [x if i == 0 else " " + x for i, x in enumerate(p.split("\n"))]) for p in lines]
+            todo = set(fresh)
             todo.difference_update([p for p, _ in lines])
             todo.update([x for _, own in lines for x in own if x not in known])
-            if lines and " \n" not in known:
+            if " \n" not in known:
                 todo.add(" \n")
         # a run of marks after a letter; a bar may be a part of a special token
-        bare = [(p, q) for p in todo if p[-1:] in _MARKS and (q := p.rstrip(_MARKS)) and q[-1].isalpha() and q[-1] < "\u0130" and "|" not in p]
-        split = [(p, q, alone + p[len(q) :]) for p, q in bare]
-        todo.difference_update([p for p, _ in bare])
-        todo.update([q for _, q in bare if q not in known], [m for m in {m for *_, m in split} if m not in known])
-        order = list(todo)
-        known.update(zip(order, self.make([p[1:] if p[:1] == " " else " " + p for p in order] if self.blanks else order), strict=True))
-        for p, q, m in split:
-            known[p] = known[q] + known[m]
+        split, rest = [], []
+        for p in todo:
+            if p[-1:] in _MARKS and (q := p.rstrip(_MARKS)) and q[-1].isalpha() and q[-1] < "\u0130" and "|" not in p:
+                split.append((p, q))
+            else:
+                rest.append(p)
+        if split:
+            rest = set(rest)
+            rest.update([q for _, q in split if q not in known], [m for m in {alone + p[len(q) :] for p, q in split} if m not in known])
+        rest = list(rest)
+        known.update(zip(rest, self.make([p[1:] if p[:1] == " " else " " + p for p in rest] if self.blanks else rest), strict=True))
+        for p, q in split:
+            known[p] = known[q] + known[alone + p[len(q) :]]
         for p, own in lines:
             known[p] = known[" \n"].join([known[x] for x in own])
 

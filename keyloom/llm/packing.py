@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batches, columns, written
-from .token_files import library_memo, special_cut
+from .common import columns, steps, written
+from .token_files import library_memo
 
 WINDOW = 1024
 #: Depth-three combinations tried for each length: partners at these shares of what is left.
@@ -127,10 +127,10 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW,
         from pyspark import TaskContext
 
         part, memo, end = TaskContext.get().partitionId(), library_memo(tokenizer_path, 4, True), np.array([end_id], dtype="<u4").tobytes()
-        seen, cut_up = [0] * (window + 1), special_cut(tokenizer_path)
-        for batch, texts in batches(it):
+        seen = [0] * (window + 1)
+        for batch in steps(it):
             rows: list[list] = [[] for _ in range(7 + with_ids)]
-            for doc, ids in zip(batch.column(0).to_pylist(), memo([cut_up(t) for t in texts]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), memo(batch.column(1)), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, batches, columns, pieces, shared_dir, written
+from .common import _ODD, Memo, columns, pieces, shared_dir, steps, written
 
 #: Documents read back in one step.
 READ_DOCS = 4096
@@ -72,18 +72,25 @@ def library_memo(path: str, width: int, blanks: bool) -> Memo:
         mark = own.token_to_id(SEPARATOR)
 
         def make(todo: list[str]) -> list[bytes]:
-            out: dict[str, bytes] = {p: np.array(own.encode(p, add_special_tokens=False).ids, dtype=kind).tobytes() for p in todo if "<|" in p or "|>" in p}
-            rest = [p for p in todo if p not in out] if out else todo
+            out: list[bytes] = []
+            rest, odd = todo, {i for i, p in enumerate(todo) if "|" in p and ("<|" in p or "|>" in p)}
+            if odd:
+                rest = [p for i, p in enumerate(todo) if i not in odd]
             for i in range(0, len(rest), 40 * TOGETHER):
                 some = [rest[j : j + TOGETHER] for j in range(i, min(i + 40 * TOGETHER, len(rest)), TOGETHER)]
-                for group, coded in zip(some, own.encode_batch_fast([SEPARATOR.join(x) for x in some], add_special_tokens=False), strict=True):
+                for coded in own.encode_batch_fast([SEPARATOR.join(x) for x in some], add_special_tokens=False):
                     ids = np.array(coded.ids, dtype=kind)
                     raw, cut = ids.tobytes(), (np.flatnonzero(ids == mark) * width).tolist()
-                    for p, x, y in zip(group, [0, *[c + width for c in cut]], [*cut, len(raw)], strict=True):
-                        out[p] = raw[x:y]
-            return [out[p] for p in todo]
-
-        _memos[path, width, blanks] = Memo(make, blanks=blanks)
+                    start = 0
+                    for end in cut:
+                        out.append(raw[start:end])
+                        start = end + width
+                    out.append(raw[start:])
+            for i in sorted(odd):
+                out.insert(i, np.array(own.encode(todo[i], add_special_tokens=False).ids, dtype=kind).tobytes())
+            return out
+
+        _memos[path, width, blanks] = Memo(make, blanks=blanks, cut=special_cut(path) if blanks else word_pieces, odd=rf"<\||{_ODD}")
     return _memos[path, width, blanks]
 
 
@@ -119,9 +126,9 @@ def write_tokens(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
         end = np.array([end_id], dtype=kind).tobytes()
         name, sizes, ids = f"{own}/.{part:08d}-{uuid.uuid4().hex}", [], []
         stream = None
-        for batch, texts in batches(it):
+        for batch in steps(it):
             stream = stream or fs.open_output_stream(f"{name}.bin")
-            coded = memo([word_pieces(t) for t in texts])
+            coded = memo(batch.column(1))
             stream.write(b"".join(y for x in coded for y in (x, end)))
             sizes.append(np.array([len(x) // width + 1 for x in coded], dtype="<i8"))
             ids.append(batch.column(0).fill_null(-(2**63)).to_numpy().astype("<i8"))
