@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.bytes import salted_hash
+
 
 class AddressedArray:
     """df: addr (long) and value, at most one row an address; what is missing has the default."""
@@ -75,9 +76,16 @@ class AddressedArray:
         return AddressedArray(both.select("addr", F.when(F.col("_w").isNotNull(), F.col("_w.v")).otherwise(F.col("value")).alias("value")), self.size, self.default)
 
 
-def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key, with all columns."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
+def positions(array: AddressedArray, salt: str = "") -> DataFrame:
+    """uid, position: a place for each cell of an array, spread over all cells by a salted hash: what a loader hands on
+    to the index above it."""
+    cells = array.df.sparkSession.range(array.size).select(F.col("id").alias("uid"))
+    return cells.withColumn("position", F.pmod(salted_hash(F.col("uid"), salt), F.lit(array.size)))
+
+
+def load_histogram(df: DataFrame, bucket: str) -> DataFrame:
+    """load, buckets: how many buckets hold how many rows. Counted before the shuffle, so a full bucket is no hot task."""
+    return df.groupBy(bucket).agg(F.count(F.lit(1)).alias("load")).groupBy("load").agg(F.count(F.lit(1)).alias("buckets"))
 
 
 def split_address(addr: Column, chunk: int = 8, fan_out: int = 8, levels: int = 3) -> list[Column]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.bytes import normalize_address
 from ..functions.numbers import LIMBS, carried, is_zero, sort_key
 from .order import Running, running
+from .table import KeyedTable
 
 #: Blocks behind the newest one that may still change.
 FINALITY = 10
@@ -58,6 +59,11 @@ def not_final(log: DataFrame, last_block: int, lag: int = FINALITY) -> DataFrame
     return log.where(F.col("block") > last_block - lag)
 
 
+def late_rows(log: DataFrame, last_block: int, lag: int = FINALITY) -> int:
+    """How many rows come too late: at or below the finality line of the last batch."""
+    return log.where(F.col("block") <= last_block - lag).count()
+
+
 def is_stale(log: DataFrame, last_block: int) -> bool:
     """No rows, or the last row is of an older block than the last batch's."""
     last = log.agg(F.max_by("block", "ord").alias("b")).first().b
@@ -145,6 +151,11 @@ def top(balances: DataFrame, n: int | None = None, amount: Amount = LONG) -> Dat
     return out if n is None else out.limit(n)
 
 
+def served_table(served: DataFrame, records: int, spare: float = 1.2) -> KeyedTable:
+    """Served balances as a keyed table with room for more accounts than the records that are stored."""
+    return KeyedTable(served, ["addr"], capacity=int(records * spare))
+
+
 def nest(log: DataFrame) -> DataFrame:
     """block, tx_hash, events: a map from log_idx to its transfer, for each transaction."""
     entry = F.struct("log_idx", F.struct("from_addr", "to_addr", "amount"))

@@ -62,3 +62,14 @@ def running(df: DataFrame, order: str, values: dict[str, Running], n: int | None
 def position(df: DataFrame, order: str, name: str = "pos", start: int = 1) -> DataFrame:
     """df with each row's place in the order, from `start`."""
     return running(df, order, {name: Running("count", F.lit(1))}).withColumn(name, F.col(name) + start)
+
+
+def position_within(df: DataFrame, by: str, order: str, name: str = "pos", start: int = 1) -> DataFrame:
+    """df with each row's place among the rows of its group, from `start`. A group of any size is many tasks' work."""
+    own = df.withColumn("_bucket", buckets(df, order))
+    before = W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    # One row for each group and bucket.
+    parts = own.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(F.col(by).alias("_by"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = own.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_bucket") == F.col("_b")))
+    here = F.row_number().over(W.partitionBy(by, "_bucket").orderBy(order))
+    return own.withColumn(name, (F.col("_base") + here + (start - 1)).cast("long")).drop("_bucket", "_by", "_b", "_base")

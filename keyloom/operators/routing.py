@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..sources.folders import checkpoint_dir
-from .order import Running, position, running
+from .order import Running, position, position_within, running
 
 
 class BucketOverflow(ValueError):
@@ -35,7 +36,7 @@ def distribute(items: DataFrame, item_order: str, slots: DataFrame, slot_order:
 
 def interleave(df: DataFrame, mark: str, order: str) -> DataFrame:
     """df with round and pos: rows in the order of pos cycle through the marks, as far as each mark has rows."""
-    ranked = df.withColumn("round", F.row_number().over(W.partitionBy(mark).orderBy(order)))
+    ranked = position_within(df, mark, order, "round")
     size = ranked.groupBy("round").agg(F.count(F.lit(1)).alias("_n"))
     base = running(size, "round", {"_base": Running("sum", F.col("_n"))}).select("round", "_base")
     within = F.row_number().over(W.partitionBy("round").orderBy(mark))
@@ -70,8 +71,8 @@ def split_two_ways(df: DataFrame, order: str, right: Column, capacity: int) -> D
 
 def pad(df: DataFrame, shard: str, order: str, shards: int, width: int) -> DataFrame:
     """Exactly `width` slots for each of the shards 0 to shards - 1: shard, slot (from 1), and the rows' columns, null in
-    slots without a row. Every shard looks equally full, whatever the data."""
-    ranked = df.withColumn("slot", F.row_number().over(W.partitionBy(shard).orderBy(order)).cast("long")).withColumn(shard, F.col(shard).cast("long"))
+    slots without a row. Every shard looks equally full, whatever the data. order: a numeric column."""
+    ranked = position_within(df, shard, order, "slot").withColumn(shard, F.col(shard).cast("long"))
     grid = df.sparkSession.range(shards * width).select((F.col("id") % shards).alias(shard), (F.expr(f"id div {shards}") + 1).alias("slot"))
     return grid.join(ranked, [shard, "slot"], "left")
 
@@ -85,14 +86,18 @@ def pad_shards(df: DataFrame, shard: str, key: str, shards: int, bound: int = 0)
     """Distinct keys, every shard padded to one width: the bound, or the fullest shard if that is wider."""
     keys = df.select(shard, key).where(F.col(key).isNotNull()).distinct()
     fullest = keys.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
-    return pad(keys, shard, key, shards, max(bound, fullest))
+    if isinstance(keys.schema[key].dataType, NumericType):
+        return pad(keys, shard, key, shards, max(bound, fullest))
+    return pad(keys.withColumn("_hash", F.xxhash64(key)), shard, "_hash", shards, max(bound, fullest)).drop("_hash")
 
 
 def propagate(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """df with value replaced by that of the key's first row, and is_first."""
-    w = W.partitionBy(key).orderBy(order)
-    first = F.first(value).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return df.withColumn("is_first", F.row_number().over(w) == 1).withColumn(value, first)
+    """df with value replaced by that of the key's first row, and is_first. Order values of a key are distinct.
+
+    First rows are combined before the shuffle; the join has nothing above it that needs a key's rows together."""
+    first = df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(F.col(value).alias("v"), F.col(order).alias("o")), order).alias("_f"))
+    own = df.join(first, F.col(key).eqNullSafe(F.col("_k")))
+    return own.withColumn("is_first", F.col(order) == F.col("_f.o")).withColumn(value, F.col("_f.v")).drop("_k", "_f")
 
 
 def route(df: DataFrame, shard: str, shards: int, capacity: int | None = None) -> DataFrame:

@@ -77,43 +77,47 @@ class KeyedTable:
 
     # ---- batches
 
+    def _met(self, batch: DataFrame, flag: str, values: dict[str, str], own: DataFrame | None = None) -> DataFrame:
+        """batch with values (as named) of its keys and the flag. Columns of batch with those names give way."""
+        own = self.df if own is None else own
+        own = own.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], F.lit(True).alias("_f"))
+        on = [batch[k] == F.col(f"_k{i}") for i, k in enumerate(self.keys)]
+        keep = [batch[c] for c in batch.columns if c != flag and c not in values.values()]
+        return batch.join(own, on, "left").select(*keep, *[F.col(f"_v{i}").alias(n) for i, n in enumerate(values.values())], F.coalesce("_f", F.lit(False)).alias(flag))
+
     def find_batch(self, probe: DataFrame, *, default: dict | None = None, distinct_first: bool = False) -> DataFrame:
         """probe (with the key columns) plus the values and found. A miss has null values, or those of `default`.
 
-        distinct_first probes each key once and fans the results out: worth it if keys repeat a lot and values are wide."""
-        own = self.df.withColumn("found", F.lit(True))
-        if distinct_first:
-            own = _real(probe, self.keys).select(*self.keys).distinct().join(own, self.keys)
-        out = probe.join(own, self.keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+        distinct_first probes each key once and fans the results out: worth it if keys repeat a lot and values are wide.
+        Columns of probe that are named like a value, or found, are replaced."""
+        own = _real(probe, self.keys).select(*self.keys).distinct().join(self.df, self.keys) if distinct_first else None
+        out = self._met(probe, "found", {v: v for v in self.values}, own)
         for name, value in (default or {}).items():
             out = out.withColumn(name, F.when(F.col("found"), F.col(name)).otherwise(F.lit(value)))
-        return out.select(*probe.columns, *self.values, "found")
+        return out
 
-    def existed(self, batch: DataFrame) -> DataFrame:
+    def existed(self, batch: DataFrame, flag: str = "existed") -> DataFrame:
         """batch plus existed: whether its key was there before."""
-        own = self.df.select(*self.keys, F.lit(True).alias("existed"))
-        return batch.join(own, self.keys, "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+        return self._met(batch, flag, {})
 
     def insert_batch(self, batch: DataFrame, order: str) -> tuple[KeyedTable, DataFrame]:
         """Upsert; of several rows of a key the one with the greatest order wins. The new table, and batch with existed."""
         new = winners(_real(batch, self.keys), self.keys, self.values, order)
-        mine, theirs = self.df.alias("m"), new.withColumn("_new", F.lit(True)).alias("n")
-        both = mine.join(theirs, self.keys, "full_outer")
-        merged = both.select(*self.keys, *[F.when(F.col("_new"), F.col(f"n.{v}")).otherwise(F.col(f"m.{v}")).alias(v) for v in self.values])
-        return self._with(merged), self.existed(batch)
+        return self._with(self._merged(new, "full_outer")), self.existed(batch)
+
+    def _merged(self, new: DataFrame, how: str) -> DataFrame:
+        both = self.df.alias("m").join(new.withColumn("_new", F.lit(True)).alias("n"), self.keys, how)
+        return both.select(*self.keys, *[F.when(F.col("_new"), F.col(f"n.{v}")).otherwise(F.col(f"m.{v}")).alias(v) for v in self.values])
 
     def swap_batch(self, batch: DataFrame, order: str) -> tuple[KeyedTable, DataFrame]:
         """insert_batch whose flags also have the values before, as old_*."""
         table, _ = self.insert_batch(batch, order)
-        old = self.df.select(*self.keys, *[F.col(v).alias(f"old_{v}") for v in self.values], F.lit(True).alias("existed"))
-        return table, batch.join(old, self.keys, "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+        return table, self._met(batch, "existed", {v: f"old_{v}" for v in self.values})
 
     def update_batch(self, batch: DataFrame, order: str) -> tuple[KeyedTable, DataFrame]:
-        """New values for keys that are there; others are ignored, never inserted."""
-        new = winners(_real(batch, self.keys), self.keys, self.values, order).withColumn("_new", F.lit(True))
-        both = self.df.alias("m").join(new.alias("n"), self.keys, "left")
-        merged = both.select(*self.keys, *[F.when(F.col("_new"), F.col(f"n.{v}")).otherwise(F.col(f"m.{v}")).alias(v) for v in self.values])
-        return self._with(merged), self.existed(batch).withColumnRenamed("existed", "found")
+        """New values for keys that are there; others are ignored, never inserted. Flags: found."""
+        new = winners(_real(batch, self.keys), self.keys, self.values, order)
+        return self._with(self._merged(new, "left")), self.existed(batch, "found")
 
     def erase_batch(self, batch: DataFrame) -> tuple[KeyedTable, DataFrame]:
         return self._with(self.df.join(batch.select(*self.keys), self.keys, "left_anti")), self.existed(batch)

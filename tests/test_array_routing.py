@@ -80,7 +80,10 @@ def test_binomial_sizes():
     assert capacity.log2_tail(n, 1000, 1 / 8) < -40 <= capacity.log2_tail(n - 1, 1000, 1 / 8)
     assert capacity.max_per_shard(1, 8) == 1
     assert capacity.suitable_shards(3) == 2 and capacity.suitable_shards(1000) <= 64
-    assert capacity.shard_factors(22) is None and capacity.shard_factors(12) == [6, 2]
+    assert capacity.shard_factors(12) == [3, 4] and capacity.shard_factors(24) == [3, 8] and capacity.shard_factors(60) == [3, 4, 5]
+    for n in (0, 1, 11, 22, 65, 72):
+        with pytest.raises(ValueError, match="shards"):
+            capacity.shard_factors(n)
     assert 0 < capacity.real_per_bucket(4096, 4) < 4096
     assert abs(capacity.log2_add(3, 3) - 4) < 1e-12
 

@@ -94,7 +94,7 @@ def test_state_and_replayed_batches(spark, tmp_path):
         assert {r.addr: r.amount for r in state.served().collect()} == model.served()
         asked = state.lookup(spark.createDataFrame([("0x" + "f" * 40,)], "addr string")).first()
         assert (asked.amount, asked.till_block, asked.success) == (0, model.last, True)
-    state.store.vacuum(1)
+    state.vacuum()
     assert state.served().count() == len(model.served())
 
 

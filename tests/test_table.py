@@ -112,3 +112,18 @@ def test_replay(spark):
     df = frame(spark, log, "ord int, key int, op string, value int")
     assert [(r.found, r.found_value) for r in replay(df).orderBy("ord").collect()] == want
     assert {r.key: r.value for r in final_state(df).collect()} == state
+
+
+def test_replay_of_a_hot_key(spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice("IUEF"), rnd.choice([None, *range(50)])) for i in range(600)]
+    state, want = {}, {}
+    for i, k, op, v in rows:
+        want[i] = (k in state, state.get(k))
+        if op == "I" or (op == "U" and k in state):
+            state[k] = v
+        elif op == "E":
+            state.pop(k, None)
+    df = spark.createDataFrame(rows, "ord long, key int, op string, value int").repartition(5)
+    got = {r.ord: (r.found, r.found_value) for r in replay(df).collect()}
+    assert got == want
