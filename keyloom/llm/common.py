@@ -19,6 +19,8 @@ from ..sources.folders import work_folder as shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one step of the Python side holds at a time.
 STEP_CHARS = 4_000_000
+#: Bytes of an Arrow batch that Spark hands to Python (or one row).
+BATCH_BYTES = 8_000_000
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -102,6 +104,7 @@ class Memo:
         finally:
             if on:
                 gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def _of(self, texts: pa.Array) -> list[bytes]:
         if not self.blanks:
@@ -118,9 +121,10 @@ class Memo:
         known = self.known
         got = list(map(known.get, own))
         if new := [i for i, v in enumerate(got) if v is None]:
-            self._learn(list(dict.fromkeys([own[i] for i in new])))
+            once = self._learn(list(dict.fromkeys([own[i] for i in new])))
             for i in new:
-                got[i] = known[own[i]]
+                p = own[i]
+                got[i] = once[p] if p in once else known[p]
         return got
 
     def _gathered(self, lists: pa.Array, rest: list[list[str]]) -> list[bytes]:
@@ -149,8 +153,8 @@ class Memo:
         data = memoryview(found.buffers()[2] or b"")
         return [data[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Adds distinct unseen pieces."""
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
+        """Adds distinct unseen pieces. Those with line ends hardly come again: they are returned, not kept."""
         known, alone = self.known, " " if self.blanks else ""
         lines, todo = [], fresh
         if self.blanks and (lines := [p for p in fresh if "\n" in p and _LINES.fullmatch(p, p[0] == " ")]):
@@ -174,8 +178,7 @@ class Memo:
         known.update(zip(rest, self.make([p[1:] if p[:1] == " " else " " + p for p in rest] if self.blanks else rest), strict=True))
         for p, q in split:
             known[p] = known[q] + known[alone + p[len(q) :]]
-        for p, own in lines:
-            known[p] = known[" \n"].join([known[x] for x in own])
+        return {p: known[" \n"].join([known[x] for x in own]) for p, own in lines}
 
 
 def sampled(df: DataFrame, hashed: Column, share: float | Column) -> DataFrame:
@@ -185,5 +188,7 @@ def sampled(df: DataFrame, hashed: Column, share: float | Column) -> DataFrame:
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns that an operator needs, so that others never clash with its own."""
+    """Only the columns that an operator needs, so that others never clash with its own. Batches that go to Python are
+    bounded by BATCH_BYTES from here on, not by rows alone: texts can be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(*[df[n] for n in names])

@@ -1,8 +1,9 @@
 """N-gram Jaccard join (operator 6) over a count-vector R-tree, with classes of linked documents.
 
 1. Documents with equal shingle sets are one class; only classes are compared.
-2. Points. The shingles of a class are hashed into DIMS groups; the groups' counts are its point. The summed minima of two
-   points (or boxes of points) bound the overlap of the sets from above.
+2. Points. The shingles of a class are hashed into groups, a power of two that is at least half of their number; the groups'
+   counts are its point. Points with more groups fold onto fewer by adding up. The summed minima of two points (or
+   boxes of points) bound the overlap of the sets from above, and closely, as groups hold one or two shingles.
 3. Blocks. Two sets of Jaccard t differ in at most d shingles, d from their sizes. With the shingles hashed into more than d groups
    at least one group is the same in both, so classes that share no group's content are never linked. A group's
    digest and its class are a message; messages are packed into arrays, combined within each task, and meet by digest. Each
@@ -10,7 +11,7 @@
    Groups that only hold common shingles (of lines and passages that many texts share, found in a bounded sample) are
    not told: there are a few more groups than needed, so that one with another shingle agrees too. Sets with too
    many of such groups tell them all. So what is common decides about the size of blocks, never about links.
-4. A block of up to BLOCK classes is one task's: a bulk-loaded R-tree over its points (halved along the widest
+4. A block of up to BLOCK classes and BLOCK_SHINGLES shingles is one task's: a bulk-loaded R-tree over its points (halved along the widest
    coordinate) is searched for every class, and what survives is verified on the sets, unless it is linked already.
 5. A larger block is joined tree node by tree node. First the edges that the digests hung up are verified, which finds
    nearly all of its classes' components. Then leaves of up to LEAF points are packed into rows, those of the block's largest component
@@ -37,9 +38,10 @@ from .common import batches, columns, sampled, written
 from .fingerprints import _mix
 from .graph import components
 
-DIMS, FANOUT = 128, 16
-#: Classes of a block that one task compares; points of a leaf of larger ones.
-BLOCK, LEAF = 128, 256
+#: Groups of a point, at least and at most; of a box that is compared with others. Points or boxes of a box.
+LEAST, MOST, COARSE, FANOUT = 128, 65_536, 128, 16
+#: Classes and shingles of a block that one task compares; points of a leaf of larger ones.
+BLOCK, BLOCK_SHINGLES, LEAF = 128, 4_000_000, 256
 #: Common shingles: in COMMON_IN or more of about SAMPLE different texts, at most MOST_COMMON of them. A set may have this
 #: share of them without telling groups that hold nothing else, if it has about as many groups of those as expected.
 SAMPLE, COMMON_IN, MOST_COMMON, COMMON_SHARE = 4000, 4, 100_000, 0.15
@@ -158,14 +160,29 @@ def node_of(key: bytes) -> int:
     return int.from_bytes(key[:6], "little")
 
 
+def groups_for(size: int) -> int:
+    return min(MOST, max(LEAST, 1 << max(0, size // 2 - 1).bit_length()))
+
+
+def counts(own: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount(((own >> _U(40)) % _U(groups)).astype(np.int64), minlength=groups)
+
+
 def point(own: np.ndarray) -> bytes:
-    """The counts of a set's groups: a byte each, or four if one has more than 255 shingles."""
-    v = np.bincount(((own >> _U(40)) % _U(DIMS)).astype(np.int64), minlength=DIMS)
-    return v.astype("u1" if v.max() < 256 else "<u4").tobytes()
+    """The counts of a set's groups, a byte each, or four if one has more than 255 shingles; the last byte says which."""
+    v = counts(own, groups_for(len(own)))
+    return v.astype("u1").tobytes() + b"\x01" if v.max() < 256 else v.astype("<u4").tobytes() + b"\x04"
+
+
+def folded(v: np.ndarray, groups: int) -> np.ndarray:
+    return v.reshape(-1, groups).sum(axis=0, dtype=np.int32)
 
 
-def points_of(raw: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype="u1" if len(x) == DIMS else "<u4") for x in raw]).astype(np.int32)
+def points_of(raw: list[bytes], groups: int | None = None) -> np.ndarray:
+    """Points, all with the fewest groups that one of them has, or with `groups`."""
+    own = [np.frombuffer(x, dtype="u1" if x[-1] == 1 else "<u4", count=(len(x) - 1) // x[-1]) for x in raw]
+    groups = groups or min(map(len, own))
+    return np.stack([folded(v, groups) for v in own])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -297,7 +314,8 @@ class Tree:
 
 def link(own: list[np.ndarray], percent: int) -> np.ndarray:
     """Labels: sets linked, directly or by others, have the same."""
-    points = points_of([point(s) for s in own])
+    groups = groups_for(max(map(len, own)))
+    points = np.stack([counts(s, groups) for s in own]).astype(np.int32)
     order = in_space(points)
     size = np.array([len(own[i]) for i in order])
     points, label = points[order], np.arange(len(own))
@@ -343,12 +361,13 @@ def _links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     reps = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("node", "n_shingles", "point", "place")])
     edges = written(candidate_edges(docs, words, percent).where("a <> b").distinct())
     found = written(reps.join(components(edges), "node").withColumnRenamed("component", "block"))
-    found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "block"))
-    small, parts = found.where(F.col("n") <= BLOCK), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    big = (F.count(F.lit(1)) > BLOCK) | (F.sum("n_shingles") > BLOCK_SHINGLES)
+    found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), big.alias("big")).where("n > 1"), "block"))
+    small, parts = found.where("not big"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, small.select("doc", "key", "block"))
     dealt = texts.repartition(parts, "block").sortWithinPartitions("block")
     linked = dealt.mapInArrow(_linker(words, percent), "key binary, component long, head binary")
-    large = found.where(F.col("n") > BLOCK)
+    large = found.where("big")
     if not large.isEmpty():
         linked = linked.unionByName(_large(docs, large, edges, words, percent))
     return all_sets, written(linked)
@@ -416,10 +435,10 @@ def _large(docs: DataFrame, found: DataFrame, edges: DataFrame, words: int, perc
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            if b.num_rows:
-                bound = np.minimum(points_of(b["point_a"].to_pylist()), points_of(b["point_b"].to_pylist())).sum(axis=1)
-                size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
-                yield pa.RecordBatch.from_arrays([b["key_a"], b["key_b"]], ["a", "b"]).filter(pa.array((100 + percent) * bound >= percent * size))
+            bound = [int(points_of(list(x)).min(axis=0).sum()) for x in zip(b["point_a"].to_pylist(), b["point_b"].to_pylist(), strict=True)]
+            size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
+            fits = (100 + percent) * np.array(bound, dtype=np.int64) >= percent * size
+            yield pa.RecordBatch.from_arrays([b["key_a"], b["key_b"]], ["a", "b"]).filter(pa.array(fits))
 
     hung = both(edges, found, "node", "key", "point", "n_shingles").select("key_a", "key_b", "point_a", "point_b", "n_shingles_a", "n_shingles_b")
     linked = verified(hung.mapInArrow(near, "a binary, b binary").distinct())
@@ -438,13 +457,15 @@ def _leaves(found: DataFrame, joined: DataFrame) -> DataFrame:
     own = found.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component")
     largest = own.groupBy("block", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     own = written(own.join(largest, "block").withColumn("main", F.col("label") == F.col("largest")).drop("largest"))
-    # Classes of one place lie together, in as many leaves as they fill; the others share leaves by ranges of places.
-    cells = own.groupBy("block", "main", "place").agg(F.count(F.lit(1)).alias("cell")).withColumn("full", F.col("cell") > LEAF // 4)
-    rest = cells.where("not full").groupBy("block", "main").agg(F.ceil(F.sum("cell") / (LEAF * 3 // 4)).alias("shared"))
-    cells = cells.join(rest, ["block", "main"], "left")
+    # Points of a leaf have equally many groups (and so are about as large). Classes of one place lie together, in as many
+    # leaves as they fill; the others share leaves by ranges of places.
+    own = own.withColumn("wide", F.octet_length("point"))
+    cells = own.groupBy("block", "main", "wide", "place").agg(F.count(F.lit(1)).alias("cell")).withColumn("full", F.col("cell") > LEAF // 4)
+    rest = cells.where("not full").groupBy("block", "main", "wide").agg(F.ceil(F.sum("cell") / (LEAF * 3 // 4)).alias("shared"))
+    cells = cells.join(rest, ["block", "main", "wide"], "left")
     split = F.pmod(F.xxhash64("key", "block"), F.ceil(F.col("cell") / LEAF))
-    leaf = F.when(F.col("full"), F.xxhash64("place", split)).otherwise(F.expr("place * shared div 65536"))
-    own = own.join(cells, ["block", "main", "place"]).withColumn("leaf", leaf.cast("long"))
+    leaf = F.when(F.col("full"), F.xxhash64("wide", "place", split)).otherwise(F.xxhash64("wide", F.expr("place * shared div 65536")))
+    own = own.join(cells, ["block", "main", "wide", "place"]).withColumn("leaf", leaf)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
@@ -454,7 +475,7 @@ def _leaves(found: DataFrame, joined: DataFrame) -> DataFrame:
             order = in_space(points)
             mine, size = [rows[i] for i in order], [r["n_shingles"] for r in rows]
             labels = {r["label"] for r in rows}
-            out = {"block": at[0], "leaf": at[2], "main": at[1], "label": labels.pop() if len(labels) == 1 else None, "low": min(size), "high": max(size), "top": points.max(axis=0).tolist()}
+            out = {"block": at[0], "leaf": at[2], "main": at[1], "label": labels.pop() if len(labels) == 1 else None, "low": min(size), "high": max(size), "top": np.max([folded(p, COARSE) for p in points], axis=0).tolist()}
             out |= {k: [r[c] for r in mine] for k, c in (("keys", "key"), ("labels", "label"), ("sizes", "n_shingles"), ("points", "point"))}
             return pa.RecordBatch.from_pylist([out], schema)
 
@@ -493,7 +514,8 @@ def _leaf_pairs(leaves: DataFrame, percent: int, best: bool) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for r in b.to_pylist():
-                ours, theirs = ((points_of(r[f"points_{n}"]), np.array(r[f"sizes_{n}"]), r[f"labels_{n}"]) for n in "ab")
+                groups = points_of([r["points_a"][0], r["points_b"][0]]).shape[1]
+                ours, theirs = ((points_of(r[f"points_{n}"], groups), np.array(r[f"sizes_{n}"]), r[f"labels_{n}"]) for n in "ab")
                 pairs = [sorted((r["keys_a"][i], r["keys_b"][j])) for i, j in survivors(ours, theirs, percent, best)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.binary()) for n in (0, 1)], ["a", "b"])
 

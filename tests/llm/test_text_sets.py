@@ -80,6 +80,19 @@ def test_every_similar_pair_shares_a_digest():
                     assert np.array_equal(a, b) or np.intersect1d(da, db).size, (percent, n, k)
 
 
+def test_folded_points_bound_the_overlap():
+    rng = np.random.default_rng(8)
+    for n in (3, 100, 300, 5000, 40_000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for m in (n // 2, n, 2 * n):
+            b = np.unique(np.concatenate([a[: m // 2], rng.integers(0, 2**63, m, dtype=np.uint64)]))
+            both = jaccard.points_of([jaccard.point(a), jaccard.point(b)])
+            assert both.sum(axis=1).tolist() == [len(a), len(b)] and both.min(axis=0).sum() >= len(np.intersect1d(a, b))
+            assert both.shape[1] == min(jaccard.groups_for(len(a)), jaccard.groups_for(len(b)))
+    same = np.arange(300, dtype=np.uint64)  # all in one group
+    assert jaccard.points_of([jaccard.point(same)]).max() == 300 and jaccard.point(same)[-1] == 4
+
+
 def test_tree_bound_is_a_bound():
     rng = np.random.default_rng(5)
     base = [np.unique(rng.integers(0, 2**63, int(n), dtype=np.uint64)) for n in rng.integers(20, 60, 8)]
