@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from ..sources.folders import Pointer, delete, names
-from .table import KeyedTable, winners
+from .table import KeyedTable, size_in_bytes, winners
 
 #: Shards of a table unless it says otherwise, and runs on top of its base at which compact_if_due() folds them in.
 SHARDS, MOST_RUNS = 16, 12
+#: Bytes of a batch for each shard from which on it isn't asked which shards it touches.
+ALL_SHARDS = 4096
 
 
 class StoredTable:
@@ -63,8 +65,11 @@ class StoredTable:
     def _shard(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.state["shards"])).cast("int")
 
-    def _touched(self, df: DataFrame) -> list[int]:
-        """Shards of a batch's keys: at most as many numbers as there are shards."""
+    def _touched(self, df: DataFrame) -> list[int] | None:
+        """Shards of a batch's keys: at most as many numbers as there are shards. None, for all of them, if the batch is
+        so large that it will hardly leave one out."""
+        if size_in_bytes(df) > ALL_SHARDS * self.state["shards"]:
+            return None
         return sorted(r[0] for r in df.dropna("any", subset=self.keys).select(self._shard()).distinct().collect())
 
     def _runs(self, shards: Iterable[int] | None) -> DataFrame | None:

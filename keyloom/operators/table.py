@@ -23,6 +23,14 @@ class CapacityError(ValueError):
     """More rows than the declared capacity."""
 
 
+#: A batch of less than this part of a table is a small one.
+SMALL_PART = 8
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _real(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna("any", subset=list(keys))
 
@@ -77,21 +85,25 @@ class KeyedTable:
 
     # ---- batches
 
-    def _met(self, batch: DataFrame, flag: str, values: dict[str, str], own: DataFrame | None = None) -> DataFrame:
-        """batch with values (as named) of its keys and the flag. Columns of batch with those names give way."""
-        own = self.df if own is None else own
+    def _met(self, batch: DataFrame, flag: str, values: dict[str, str], distinct_first: bool | None = None) -> DataFrame:
+        """batch with values (as named) of its keys and the flag. Columns of batch with those names give way.
+
+        distinct_first: only rows whose key is in the batch go on to the join with it. By default if the batch is a small
+        part of the table, by the optimizer's sizes; Spark then sends its keys to the table, if they are few enough."""
+        own = self.df.select(*self.keys, *values)
+        if SMALL_PART * size_in_bytes(batch) < size_in_bytes(own) if distinct_first is None else distinct_first:
+            own = own.join(_real(batch, self.keys).select(*self.keys).distinct(), self.keys)
         own = own.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(self.keys)], *[F.col(v).alias(f"_v{i}") for i, v in enumerate(values)], F.lit(True).alias("_f"))
         on = [batch[k] == F.col(f"_k{i}") for i, k in enumerate(self.keys)]
         keep = [batch[c] for c in batch.columns if c != flag and c not in values.values()]
         return batch.join(own, on, "left").select(*keep, *[F.col(f"_v{i}").alias(n) for i, n in enumerate(values.values())], F.coalesce("_f", F.lit(False)).alias(flag))
 
-    def find_batch(self, probe: DataFrame, *, default: dict | None = None, distinct_first: bool = False) -> DataFrame:
+    def find_batch(self, probe: DataFrame, *, default: dict | None = None, distinct_first: bool | None = None) -> DataFrame:
         """probe (with the key columns) plus the values and found. A miss has null values, or those of `default`.
 
-        distinct_first probes each key once and fans the results out: worth it if keys repeat a lot and values are wide.
-        Columns of probe that are named like a value, or found, are replaced."""
-        own = _real(probe, self.keys).select(*self.keys).distinct().join(self.df, self.keys) if distinct_first else None
-        out = self._met(probe, "found", {v: v for v in self.values}, own)
+        distinct_first probes each key once and fans the results out: worth it for small probes of large tables, which
+        is the default, and if keys repeat a lot and values are wide. Columns of probe that are named like a value, or found, are replaced."""
+        out = self._met(probe, "found", {v: v for v in self.values}, distinct_first)
         for name, value in (default or {}).items():
             out = out.withColumn(name, F.when(F.col("found"), F.col(name)).otherwise(F.lit(value)))
         return out
@@ -149,7 +161,7 @@ class KeyedTable:
 
     def size_in_bytes(self) -> int:
         """What the optimizer takes the table's size to be."""
-        return int(str(self.df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return size_in_bytes(self.df)
 
     def checkpointed(self) -> KeyedTable:
         """The same table with its lineage cut in the session's checkpoint folder: for long runs of batches."""
