@@ -23,7 +23,7 @@ from .table import KeyedTable, size_in_bytes, winners
 #: Shards of a table unless it says otherwise, and runs on top of its base at which compact_if_due() folds them in.
 SHARDS, MOST_RUNS = 16, 12
 #: Bytes of a batch for each shard from which on it isn't asked which shards it touches.
-ALL_SHARDS = 4096
+ALL_SHARDS, UNKNOWN = 4096, 1 << 62
 
 
 class StoredTable:
@@ -68,7 +68,7 @@ class StoredTable:
     def _touched(self, df: DataFrame) -> list[int] | None:
         """Shards of a batch's keys: at most as many numbers as there are shards. None, for all of them, if the batch is
         so large that it will hardly leave one out."""
-        if size_in_bytes(df) > ALL_SHARDS * self.state["shards"]:
+        if ALL_SHARDS * self.state["shards"] < size_in_bytes(df) < UNKNOWN:
             return None
         return sorted(r[0] for r in df.dropna("any", subset=self.keys).select(self._shard()).distinct().collect())
 
