@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -98,6 +99,53 @@ def test_redaction(docs):
     assert sorted((r.doc_id, str(r.text)) for r in out.collect()) == [(1, "a [assign] b [access] é [hex]."), (2, "None"), (3, "clean"), (3, "clean")]
 
 
+def plain_dedup(texts, span=50):
+    """texts (by doc_id, none null) without the lines of repeated chunks, row by row."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    first, places = {}, {}
+    for i in sorted(texts):
+        lines = texts[i].split("\n")
+        words = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+        rolling = [md5((md5(lines[j - 1]) if j else "") + md5(x)) for j, x in enumerate(lines)]
+        ranges, start = set(), 0
+        for j in range(len(lines)):
+            dip = 0 < j < len(lines) - 1 and rolling[j] < rolling[j - 1] and rolling[j] < rolling[j + 1]
+            if dip or j == len(lines) - 1:
+                if sum(w > 0 for w in words[start : j + 1]) >= 2:
+                    ranges.add((start, j))
+                start = j + 1
+        for step in (1, -1):  # from each line with words on, and back
+            for j, w in enumerate(words):
+                total, k = w, j
+                while w and total < span and 0 <= k + step < len(lines):
+                    k += step
+                    total += words[k]
+                if w and total >= span:
+                    while not words[k]:
+                        k -= step
+                    ranges.add((min(j, k), max(j, k)))
+        places[i] = ranges
+        for a, b in sorted(ranges):
+            first.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
+    out = {}
+    for i, text in texts.items():
+        lines, gone = text.split("\n"), set()
+        for a, b in places[i]:
+            doc, c, d = first["\n".join(lines[a : b + 1])]
+            if (doc, c, d) != (i, a, b) and not (doc == i and a <= d):
+                gone.update(range(a, b + 1))
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_dedup_matches_plain_version(docs):
+    rnd = random.Random(14)
+    bank = [" ".join(rnd.choice("abcdefgh") * 2 for _ in range(rnd.choice([0, 1, 5, 12, 30, 60]))) for _ in range(60)]
+    runs = [[rnd.choice(bank) for _ in range(rnd.randrange(1, 14))] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(rnd.randrange(1, 5)) for x in (rnd.choice(runs) if rnd.random() < 0.6 else [rnd.choice(bank) + f" u{rnd.randrange(10**6)}"]))) for i in rnd.sample(range(500), 80)]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs(rows)).collect()} == plain_dedup(dict(rows))
+
+
 def test_repeated_chunks_go_but_once(docs):
     passage = "\n".join(f"shared line {i} of a passage" for i in range(12))
     long_line = " ".join(f"word{i}" for i in range(60))

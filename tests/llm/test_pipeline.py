@@ -7,9 +7,9 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from keyloom.llm import line_dedup, secrets, token_files  # noqa: E402
+from keyloom.llm import secrets, token_files  # noqa: E402
 
-from .test_native import plain_spans  # noqa: E402
+from .test_native import plain_dedup, plain_spans  # noqa: E402
 from .test_text_sets import plain_classes  # noqa: E402
 
 
@@ -42,7 +42,7 @@ def test_stages_against_plain_versions(spark, sf):
             assert not {71, 72} & set(got) and set(range(71)) & set(texts) <= set(got) and all(got[i] == texts[i] for i in got)
             assert sum(80 <= i < 85 for i in got) <= 1
         elif kind == "L":
-            plain = {r.doc_id: r.text for r in line_dedup.dedup(docs).collect()}
+            plain = plain_dedup(texts)
             assert got == {i: t for i, t in plain.items() if t.split()} and 60 not in got and len(got[62]) < len(texts[62]) - 300
         elif kind == "J":
             classes = plain_classes(list(texts.items()), 5, 80)
