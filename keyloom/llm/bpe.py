@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Memo, columns, steps
 
 NONE = np.int32(2**31 - 1)
-LONG = 1024  # bytes of a piece from which on blocks of ranks are used
+LONG = 4096  # bytes of a piece from which on blocks of ranks are used
 CELLS = 2_000_000  # of a matrix
 
 

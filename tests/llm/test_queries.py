@@ -148,3 +148,21 @@ def test_op10(spark, table):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_a_text_of_five_megabytes(spark, tmp_path):
+    rnd = random.Random(15)
+    words = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    long = "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 40))) for _ in range(60_000))
+    texts = {1: long, 2: long + "\ntoken = abcdef1234567890xyz", 3: "short text of a few words only, as a third", 4: "x" * 60_000}
+    assert len(long) > 5_000_000
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "xa", "s", len(t)) for i, t in texts.items()], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in texts], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {n: {r.doc_id: r for r in QUERIES[next(q for q in QUERIES if q.startswith(f"op{n}_"))](spark, str(tmp_path)).collect()} for n in range(1, 10)}
+    assert all(len(x) == 4 for x in out.values())
+    assert all(out[1][i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in texts.items())
+    assert out[3][2].spans.startswith("assign:") and out[3][1].spans == "" and out[6][2].component_id == 1
+    assert out[9][1].text == long and out[9][2].text == "token = abcdef1234567890xyz" and out[7][1].n_chars == len(long)
+    pieces = QUERIES["op10_packing"](spark, str(tmp_path)).collect()
+    assert {i: sum(r.length for r in pieces if r.doc_id == i) for i in texts} == {i: out[1][i].n_tokens + 1 for i in texts}
