@@ -90,6 +90,15 @@ def insert_batch(s, d):
     return _even(s, d).insert_batch(_orders(s, d), "ord")[0].df
 
 
+@query("""WITH b AS (SELECT o_orderkey AS ord, CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey END AS key, o_totalprice AS value FROM orders),
+w AS (SELECT key, max_by(value, ord) AS value FROM b WHERE key IS NOT NULL GROUP BY key), m AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0)
+SELECT coalesce(w.key, m.key) AS key, CASE WHEN w.key IS NOT NULL THEN w.value ELSE m.value END AS value FROM m FULL JOIN w ON m.key = w.key""")
+def insert_with_dummies(s, d):
+    """A batch of which every fourth row is a dummy: a null key."""
+    batch = _orders(s, d).withColumn("key", F.when(F.col("ord") % 4 != 0, F.col("key")))
+    return _even(s, d).insert_batch(batch, "ord")[0].df
+
+
 @query("SELECT o_orderkey AS ord, o_custkey AS key, o_totalprice AS value, c_custkey IS NOT NULL AS existed FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0")
 def insert_batch_flags(s, d):
     return _even(s, d).insert_batch(_orders(s, d), "ord")[1]
@@ -835,6 +844,19 @@ def scan_chunks(s, d):
     return s.createDataFrame([(n, h, scanner.next_chunk(n, h, 5000)) for n in (0, 50, 100, 400, 1600, 6400, 10000) for h in (0, 3)], "size bigint, hits bigint, next bigint")
 
 
+@query("SELECT CAST(last AS BIGINT) AS last, CAST(first AS BIGINT) AS first, CAST(CASE WHEN last IS NULL THEN first ELSE greatest(first, last - 10) END AS BIGINT) AS start FROM (SELECT unnest([NULL, 0, 5, 100, 4000]) AS last), (SELECT unnest([0, 95]) AS first)")
+def scan_resume(s, d):
+    """Where a scanner goes on after a restart."""
+    return s.createDataFrame([(x, y, scanner.resume_from(x, y)) for x in (None, 0, 5, 100, 4000) for y in (0, 95)], "last bigint, first bigint, start bigint")
+
+
+@query("SELECT c_custkey AS key, c_custkey AS number, CAST(NULL AS BIGINT) AS none FROM customer")
+def metadata_casts(s, d):
+    """Integers kept as text, and text that is none."""
+    text = F.col("c_custkey").cast("string")
+    return table(s, d, "customer").select(F.col("c_custkey").alias("key"), text.cast("long").alias("number"), F.concat(text, F.lit("x")).try_cast("long").alias("none"))
+
+
 # ---- the ledger as a state
 
 _ACCOUNT = "'0x' || lpad(CAST({} AS VARCHAR), 40, '0')"
