@@ -6,11 +6,13 @@ import atexit
 import json
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+#: Session, folder and thread of all work folders.
+_made: list[tuple[SparkSession, str, int]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -29,12 +31,30 @@ def work_folder(spark: SparkSession) -> str:
     path = f"{checkpoint_dir(spark)}/keyloom-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_clean)
-    _made.append((spark, path))
+    _made.append((spark, path, threading.get_ident()))
     return path
 
 
+def made() -> int:
+    """How many work folders there have been so far; see drop_since."""
+    return len(_made)
+
+
+def drop_since(at: int, keep: str | None = None) -> None:
+    """Deletes the work folders that this thread made since made() was `at`, but for one: when nothing reads their
+    tables any more."""
+    for spark, path, thread in _made[at:]:
+        if path != keep and thread == threading.get_ident():
+            delete(spark, path)
+
+
+def last_made() -> str:
+    """The folder that this thread made last."""
+    return next(path for _, path, thread in reversed(_made) if thread == threading.get_ident())
+
+
 def _clean() -> None:
-    for spark, path in _made:
+    for spark, path, _ in _made:
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001  the session is over; nothing is left to do it with
