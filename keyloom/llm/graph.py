@@ -12,8 +12,9 @@ from .common import written
 SALT = 64
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (least node that it is connected with) of all nodes of edges (a, b), longs.
+def components(edges: DataFrame, clean: bool = False) -> DataFrame:
+    """node, component (least node that it is connected with) of all nodes of edges (a, b), longs or
+    binaries. clean: edges is a written table of distinct edges with a < b.
 
     Each round hangs a node's smaller neighbours, and then its larger ones, on the least of them. When no node has
     two parents, or a parent that itself has one, the stars are the components: after about log(longest path) rounds.
@@ -26,8 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
         parts = edges.select(hub, "s").distinct().join(least, hub)
         return edges.join(parts, [hub, "s"], how).select("a", "b", "m")
 
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = written(edges)
+    if not clean:
+        edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
         least = edges.groupBy("b").agg(F.min("a").alias("m"))
         small = with_least(edges, "b", "a", least, "inner").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e"))

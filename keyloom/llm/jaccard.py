@@ -360,7 +360,7 @@ def _links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFr
     all_sets = written(sets(docs, words))
     reps = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("node", "n_shingles", "point", "place")])
     edges = written(candidate_edges(docs, words, percent).where("a <> b").distinct())
-    found = written(reps.join(components(edges), "node").withColumnRenamed("component", "block"))
+    found = written(reps.join(components(edges, clean=True), "node").withColumnRenamed("component", "block"))
     big = (F.count(F.lit(1)) > BLOCK) | (F.sum("n_shingles") > BLOCK_SHINGLES)
     found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), big.alias("big")).where("n > 1"), "block"))
     small, parts = found.where("not big"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
