@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import jaccard, line_dedup, packing, quality, secrets
 from keyloom.llm.common import WORD, written
+from keyloom.sources import folders
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -61,7 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. When a stage's rows are written, what the operators wrote on the way, and its input, go."""
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
+        at = folders.made()
         docs = written(stage(spark, docs, sf_dir))
+        out = folders.last_made()
+        folders.drop_since(at, keep=out)
+        if read is not None:
+            folders.delete(spark, read)
+        read = out
     return STAGES[-1][1](spark, docs, sf_dir)
