@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -190,27 +191,31 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc (null doc_id: the least long), row (a hash of the text), n_shingles, key, node, point of every row; an empty
-    set has no key. place: a number that similar sets have in common, more often than not."""
+_SET = {"doc": "long", "row": "long", "n_shingles": "long", "key": "binary", "node": "long", "point": "binary", "place": "int"}
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in batches(it):
-            own = [shingles(t, words) for t in texts]
-            keys = [set_key(s) if len(s) else None for s in own]
-            cols = [part.column(0).fill_null(NULL_ID), part.column(2), pa.array([len(s) for s in own], pa.int64()), pa.array(keys, pa.binary()), pa.array([k and node_of(k) for k in keys], pa.int64())]
-            cols += [pa.array([point(s) if len(s) else None for s in own], pa.binary()), pa.array([int(_mix(s[:1])[0] >> _U(48)) if len(s) else None for s in own], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc", "row", "n_shingles", "key", "node", "point", "place"])
 
-    rows = columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    return rows.mapInArrow(run, "doc long, row long, n_shingles long, key binary, node long, point binary, place int")
+def _schema(kinds: dict[str, str]) -> tuple[str, pa.Schema]:
+    return ", ".join(f"{n} {t}" for n, t in kinds.items()), pa.schema([(n, _TYPES[t]) for n, t in kinds.items()])
+
+
+def _filled(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
+    """A batch with the columns that there are; the others are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
-def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b: for each digest, edges between the least node that has it and the others. Repeats stay."""
+def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """In one pass over the texts:
+
+    Of every row doc (null doc_id: the least long), row (a hash of the text), n_shingles, key, node, point; an empty
+    set has no key. place: a number that similar sets have in common, more often than not. These rows only travel along.
+    And a, b: for each digest, edges between the least node that has it and the others. Repeats stay."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slots = 8 * parts
     common = common_shingles(columns(docs, "doc_id", "text"), words)
+    told_kinds, told_schema = _schema({"slot": "long", "digests": "binary", "nodes": "binary", "a": "binary", "b": "binary", **_SET})
+    met_kinds, met_schema = _schema({"a": "long", "b": "long", **_SET})
 
     def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -226,15 +231,23 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if len(a):  # edges found here pass through a slot of their own choice
                 rows.append((int(a[0] % _U(slots)), b"", b"", _six(a), _six(b)))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], ["slot", "digest", "node", "a", "b"])
+            return _filled({n: pa.array(c, told_schema.field(n).type) for n, c in zip(("slot", "digests", "nodes", "a", "b"), zip(*rows, strict=True), strict=True)}, told_schema)
 
         size = 0
-        for _, texts in batches(it):
-            own = [s for t in texts if len(s := shingles(t, words))]
-            if not own:
+        for part, texts in batches(it):
+            own = [shingles(t, words) for t in texts]
+            keys = [set_key(s) if len(s) else None for s in own]
+            nodes = [k and node_of(k) for k in keys]
+            row = part.column(2)
+            out = {"slot": [x % slots for x in row.to_pylist()], "n_shingles": [len(s) for s in own], "key": keys, "node": nodes}
+            out |= {"point": [point(s) if len(s) else None for s in own], "place": [int(_mix(s[:1])[0] >> _U(48)) if len(s) else None for s in own]}
+            arrays = {n: pa.array(v, told_schema.field(n).type) for n, v in out.items()}
+            yield _filled({**arrays, "doc": part.column(0).fill_null(NULL_ID), "row": row}, told_schema)
+            full = [i for i, k in enumerate(keys) if k]
+            if not full:
                 continue
-            digest, owner = digests(own, percent, common)
-            held.append((digest, np.array([node_of(set_key(s)) for s in own], dtype=_U)[owner]))
+            digest, owner = digests([own[i] for i in full], percent, common)
+            held.append((digest, np.array([nodes[i] for i in full], dtype=_U)[owner]))
             size += len(digest)
             if size > GATHER:
                 yield flush()
@@ -245,7 +258,7 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
             both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), dtype=_U)
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in both], ["a", "b"])
+            return _filled({n: pa.array(x.astype(np.int64)) for n, x in zip("ab", both, strict=True)}, met_schema)
 
         slot, digest, node = None, [], []
 
@@ -254,7 +267,12 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
             return edges(a, b)
 
         for batch in it:
-            for s, d, n, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            is_set = batch["n_shingles"].is_valid()
+            rows = batch.filter(is_set)
+            if rows.num_rows:
+                yield _filled({n: rows[n] for n in _SET}, met_schema)
+            told = batch.filter(pc.invert(is_set))
+            for s, d, n, a, b in zip(*(told[c].to_pylist() for c in ("slot", "digests", "nodes", "a", "b")), strict=True):
                 if s != slot and digest:
                     yield done()
                     digest, node = [], []
@@ -267,8 +285,10 @@ def candidate_edges(docs: DataFrame, words: int, percent: int) -> DataFrame:
         if digest:
             yield done()
 
-    told = columns(docs, "doc_id", "text").mapInArrow(tell, "slot long, digest binary, node binary, a binary, b binary")
-    return told.repartition(parts, "slot").sortWithinPartitions("slot").mapInArrow(meet, "a long, b long")
+    rows = columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    told = rows.mapInArrow(tell, told_kinds).repartition(parts, "slot").sortWithinPartitions("slot")
+    met = written(told.mapInArrow(meet, met_kinds))
+    return met.where("n_shingles is not null").select(*_SET), written(met.where("a <> b").select("a", "b").distinct())
 
 
 def in_space(points: np.ndarray) -> np.ndarray:
@@ -355,11 +375,10 @@ def survivors(ours: tuple, theirs: tuple, percent: int, best: bool) -> list[tupl
 
 
 def _links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """sets(docs), and key, component (the least doc linked), head (a key that linked classes have in common) of classes
+    """The rows of sets_and_edges, and key, component (the least doc linked), head (a key that linked classes have in common) of classes
     that may be linked with others."""
-    all_sets = written(sets(docs, words))
+    all_sets, edges = sets_and_edges(docs, words, percent)
     reps = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("node", "n_shingles", "point", "place")])
-    edges = written(candidate_edges(docs, words, percent).where("a <> b").distinct())
     found = written(reps.join(components(edges, clean=True), "node").withColumnRenamed("component", "block"))
     big = (F.count(F.lit(1)) > BLOCK) | (F.sum("n_shingles") > BLOCK_SHINGLES)
     found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), big.alias("big")).where("n > 1"), "block"))
