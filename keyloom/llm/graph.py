@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-
 #: Parts that a hub's neighbours are dealt to.
 SALT = 64
 
@@ -19,23 +18,20 @@ def components(edges: DataFrame, clean: bool = False) -> DataFrame:
     Each round hangs a node's smaller neighbours, and then its larger ones, on the least of them. When no node has
     two parents, or a parent that itself has one, the stars are the components: after about log(longest path) rounds.
     Neighbours meet their hub in SALT parts, however many there are."""
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int")
-
-    def with_least(edges: DataFrame, hub: str, other: str, least: DataFrame, how: str) -> DataFrame:
-        """edges with m of their hub; a hub's m goes to those parts only in which it has neighbours."""
-        edges = edges.withColumn("s", salt(other))
-        parts = edges.select(hub, "s").distinct().join(least, hub)
-        return edges.join(parts, [hub, "s"], how).select("a", "b", "m")
-
+    salted = lambda df, c: df.withColumn("s", F.pmod(F.xxhash64(c), F.lit(SALT)).cast("int"))
+    pair = lambda m, a, b: F.explode(F.array(F.struct(m.alias("m"), F.col(b).alias("x")), F.struct(m.alias("m"), F.col(a).alias("x")))).alias("e")
     if not clean:
         edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     while True:
-        least = edges.groupBy("b").agg(F.min("a").alias("m"))
-        small = with_least(edges, "b", "a", least, "inner").select(F.explode(F.array(F.struct("m", F.col("b").alias("x")), F.struct("m", F.col("a").alias("x")))).alias("e"))
+        own = salted(edges, "a")
+        least = own.groupBy("b", "s").agg(F.min("a").alias("m")).groupBy("b").agg(F.min("m").alias("m"), F.collect_set("s").alias("all"))
+        small = own.join(least.select("b", "m", F.explode("all").alias("s")), ["b", "s"]).select(pair(F.col("m"), "a", "b"))
         small = written(small.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").distinct())
         least = small.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n"))
-        up = with_least(small, "a", "b", least.select("a", "m"), "left")
-        if least.where("n > 1").isEmpty() and up.where("m is not null").isEmpty():  # one parent each, and that is a root
+        own = salted(small, "b")
+        parts = own.select("a", "s").distinct().join(least.select("a", "m"), "a")
+        up = written(own.join(parts, ["a", "s"], "left").select("a", "b", "m"))
+        if up.where("m is not null").isEmpty() and least.where("n > 1").isEmpty():  # one parent each, and that is a root
             return small.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(small.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        large = up.select(F.explode(F.array(F.struct(F.coalesce("m", "a").alias("m"), F.col("b").alias("x")), F.struct(F.coalesce("m", "a").alias("m"), F.col("a").alias("x")))).alias("e"))
+        large = up.select(pair(F.coalesce("m", "a"), "a", "b"))
         edges = written(large.select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())

@@ -239,10 +239,13 @@ def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
             keys = [set_key(s) if len(s) else None for s in own]
             nodes = [k and node_of(k) for k in keys]
             row = part.column(2)
-            out = {"slot": [x % slots for x in row.to_pylist()], "n_shingles": [len(s) for s in own], "key": keys, "node": nodes}
+            doc = part.column(0).fill_null(NULL_ID)
+            # by document and text: copies share the text's hash
+            dealt = _mix(doc.to_numpy().view(_U) * _U(0x9E3779B97F4A7C15) + row.to_numpy().view(_U)) % _U(slots)
+            out = {"slot": dealt.astype(np.int64), "n_shingles": [len(s) for s in own], "key": keys, "node": nodes}
             out |= {"point": [point(s) if len(s) else None for s in own], "place": [int(_mix(s[:1])[0] >> _U(48)) if len(s) else None for s in own]}
             arrays = {n: pa.array(v, told_schema.field(n).type) for n, v in out.items()}
-            yield _filled({**arrays, "doc": part.column(0).fill_null(NULL_ID), "row": row}, told_schema)
+            yield _filled({**arrays, "doc": doc, "row": row}, told_schema)
             full = [i for i, k in enumerate(keys) if k]
             if not full:
                 continue
@@ -457,13 +460,22 @@ def _large(docs: DataFrame, found: DataFrame, edges: DataFrame, words: int, perc
             bound = [int(points_of(list(x)).min(axis=0).sum()) for x in zip(b["point_a"].to_pylist(), b["point_b"].to_pylist(), strict=True)]
             size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
             fits = (100 + percent) * np.array(bound, dtype=np.int64) >= percent * size
-            yield pa.RecordBatch.from_arrays([b["key_a"], b["key_b"]], ["a", "b"]).filter(pa.array(fits))
+            sides = [b[c].to_pylist() for c in ("key_a", "key_b")]
+            pairs = [sorted(x) for x, y in zip(zip(*sides, strict=True), fits, strict=True) if y]
+            yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.binary()) for n in (0, 1)], ["a", "b"])
 
     hung = both(edges, found, "node", "key", "point", "n_shingles").select("key_a", "key_b", "point_a", "point_b", "n_shingles_a", "n_shingles_b")
     linked = verified(hung.mapInArrow(near, "a binary, b binary").distinct())
+    joined = written(components(linked, clean=True))
     for best in (True, False):
-        linked = linked.unionByName(verified(_leaf_pairs(_leaves(found, components(linked)), percent, best).distinct()))
-    label = found.join(components(linked).withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("component", "key").alias("head"))
+        pairs = written(_leaf_pairs(_leaves(found, joined), percent, best).distinct())
+        if pairs.isEmpty():  # then there are none at all
+            break
+        more = verified(pairs)
+        if not more.isEmpty():
+            linked = linked.unionByName(more)
+            joined = written(components(linked))
+    label = found.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("component", "key").alias("head"))
     return label.join(label.groupBy("head").agg(F.min("doc").alias("component")), "head").select("key", "component", "head")
 
 
