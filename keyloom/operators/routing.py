@@ -127,10 +127,6 @@ def shuffled(df: DataFrame, seed: int | None = None) -> DataFrame:
     return df.orderBy(F.rand(seed) if seed is not None else F.rand())
 
 
-def in_order(df: DataFrame, order: str) -> DataFrame:
-    return df.orderBy(order)
-
-
 def choose(condition: Column, a: Column, b: Column) -> Column:
     return F.when(condition, a).otherwise(b)
 
