@@ -289,7 +289,7 @@ def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
             yield done()
 
     rows = columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    told = rows.mapInArrow(tell, told_kinds).repartition(parts, "slot").sortWithinPartitions("slot")
+    told = rows.mapInArrow(tell, told_kinds).repartitionById(parts, (F.col("slot") % parts).cast("int")).sortWithinPartitions("slot")
     met = written(told.mapInArrow(meet, met_kinds))
     return met.where("n_shingles is not null").select(*_SET), written(met.where("a <> b").select("a", "b").distinct())
 
