@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_CHARS = 4_000_000
 #: Bytes of an Arrow batch that Spark hands to Python (or one row).
 BATCH_BYTES = 8_000_000
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -28,10 +29,16 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. The shuffle files of
+    the write go with it, rather than when the driver happens to collect its garbage."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def steps(it: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:

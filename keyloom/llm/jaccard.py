@@ -6,8 +6,11 @@
    boxes of points) bound the overlap of the sets from above, and closely, as groups hold one or two shingles.
 3. Blocks. Two sets of Jaccard t differ in at most d shingles, d from their sizes. With the shingles hashed into more than d groups
    at least one group is the same in both, so classes that share no group's content are never linked. A group's
-   digest and its class are a message; messages are packed into arrays, combined within each task, and meet by digest. Each
-   digest hangs its classes on one of them; connected classes are a block. No digest makes all pairs of its classes.
+   digest and its class are a message; messages are packed into arrays and meet by digest. A digest of up to CROWD classes
+   makes their pairs, of which those that the bound of their points leaves are edges: sets that only have a passage in common
+   don't connect. A digest of more classes makes no pairs. It hangs its classes on one of them, but only those that need it: a class
+   with so few crowded groups (and groups not told) that any linked one also shares another group is left out.
+   Connected classes are a block.
    Groups that only hold common shingles (of lines and passages that many texts share, found in a bounded sample) are
    not told: there are a few more groups than needed, so that one with another shingle agrees too. Sets with too
    many of such groups tell them all. So what is common decides about the size of blocks, never about links.
@@ -46,8 +49,10 @@ BLOCK, BLOCK_SHINGLES, LEAF = 128, 4_000_000, 256
 #: Common shingles: in COMMON_IN or more of about SAMPLE different texts, at most MOST_COMMON of them. A set may have this
 #: share of them without telling groups that hold nothing else, if it has about as many groups of those as expected.
 SAMPLE, COMMON_IN, MOST_COMMON, COMMON_SHARE = 4000, 4, 100_000, 0.15
-#: Messages that a task gathers before it combines and emits them.
+#: Messages that a task gathers before it emits them.
 GATHER = 1_000_000
+#: Classes of a digest that are compared pair by pair.
+CROWD = 16
 NULL_ID = -(2**63)
 _U = np.uint64
 
@@ -102,6 +107,12 @@ def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
 
 def digests(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Digests of all groups that the sets tell, and the set of each. common: sorted hashes of common shingles."""
+    return told_groups(sets, percent, common)[:2]
+
+
+def told_groups(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of all groups that the sets tell, the set of each, and for even and odd bands how many of its told groups
+    a set can do without: any linked set shares another one. A digest is even or odd as its band is."""
     starts, groups, spare = bands(percent)
     size = np.array([len(s) for s in sets])
     own = np.searchsorted(starts, size, side="right") - 1
@@ -112,7 +123,7 @@ def digests(sets: list[np.ndarray], percent: int, common: np.ndarray | None = No
     if common is not None and len(common):
         own_sign = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] != hashes
     low, high = (mixed & _U(0xFFFFFFFF)).astype(float), (mixed >> _U(32)).astype(float)
-    found = []
+    found, slack = [], np.zeros((2, len(sets)), dtype=np.int64)
     for band in (own, own + 1):
         tells = own >= 0 if band is own else own >= -1
         tells = tells & (size >= starts[np.maximum(band, 0)] * percent // 100) & (size > 0)
@@ -125,21 +136,36 @@ def digests(sets: list[np.ndarray], percent: int, common: np.ndarray | None = No
         total = np.bincount(code, low[mine], n).astype(_U) + (np.bincount(code, high[mine], n).astype(_U) << _U(20))
         owner = np.repeat(np.arange(len(sets)), count)
         empty = np.bincount(owner[~filled], minlength=len(sets))
-        tell = filled | (empty > spare[np.maximum(band, 0)])[owner]
+        left = spare[np.maximum(band, 0)] - empty
+        slack[band & 1, np.arange(len(sets))] = left
+        tell = filled | (left < 0)[owner]
         group = (np.arange(n) - first[owner]).astype(_U)
         total = _mix(total + _mix(group * _U(0x9E3779B97F4A7C15) + band[owner].astype(_U) * _U(0xD6E8FEB86659FD93)))
+        total = total & ~_U(1) | (band[owner] & 1).astype(_U)
         found.append((total[tell], owner[tell]))
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]), slack
 
 
-def combine(digest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One message for each digest, with its least node, and the edges from that to the other nodes."""
+def once(digest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct messages, in order."""
     order = np.lexsort((node, digest))
     digest, node = digest[order], node[order]
-    head = np.concatenate([[True], digest[1:] != digest[:-1]]) if len(digest) else np.empty(0, dtype=bool)
-    lead = node[head][np.cumsum(head) - 1] if len(digest) else node
-    other = lead != node
-    return digest[head], node[head], lead[other], node[other]
+    new = np.ones(len(digest), dtype=bool)
+    new[1:] = (digest[1:] != digest[:-1]) | (node[1:] != node[:-1])
+    return digest[new], node[new]
+
+
+def meetings(digest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all messages of some digests: distinct pairs of nodes (two rows) that share a digest of up to CROWD nodes; and which
+    of once()'s messages are of larger ones."""
+    digest, node = once(digest, node)
+    head = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]])) if len(digest) else np.empty(0, dtype=np.int64)
+    size = np.diff(np.concatenate([head, [len(digest)]]))
+    pairs = [np.empty((2, 0), dtype=_U)]
+    for n in range(2, CROWD + 1):
+        some = node[head[size == n][:, None] + np.arange(n)]
+        pairs.append(np.stack([some[:, x].ravel() for x in np.triu_indices(n, 1)]))
+    return np.unique(np.concatenate(pairs, axis=1), axis=1), np.repeat(size > CROWD, size)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -186,12 +212,19 @@ def points_of(raw: list[bytes], groups: int | None = None) -> np.ndarray:
     return np.stack([folded(v, groups) for v in own])
 
 
+def coarse(raw: bytes) -> bytes:
+    """A point with a fourth of its groups, as long as LEAST are left."""
+    v = points_of([raw])[0]
+    v = folded(v, max(LEAST, len(v) // 4))
+    return v.astype("u1").tobytes() + b"\x01" if v.max() < 256 else v.astype("<u4").tobytes() + b"\x04"
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     inter = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * inter >= percent * (len(a) + len(b) - inter)
 
 
-_SET = {"doc": "long", "row": "long", "n_shingles": "long", "key": "binary", "node": "long", "point": "binary", "place": "int"}
+_SET = {"doc": "long", "row": "long", "n_shingles": "long", "key": "binary", "node": "long", "point": "binary", "place": "int", "slack_even": "long", "slack_odd": "long"}
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
 
 
@@ -205,52 +238,50 @@ def _filled(columns: dict[str, pa.Array], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
-def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def sets_and_meetings(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """In one pass over the texts:
 
     Of every row doc (null doc_id: the least long), row (a hash of the text), n_shingles, key, node, point; an empty
-    set has no key. place: a number that similar sets have in common, more often than not. These rows only travel along.
-    And a, b: for each digest, edges between the least node that has it and the others. Repeats stay."""
+    set has no key. place: a number that similar sets have in common, more often than not. slack_even, slack_odd: see
+    told_groups. These rows only travel along.
+    a, b: pairs of nodes that share a digest of up to CROWD nodes; repeats stay. And digest, node of the other digests."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = 8 * parts
+    slots = 8 * parts  # even, as digests and their slots are even or odd together
     common = common_shingles(columns(docs, "doc_id", "text"), words)
-    told_kinds, told_schema = _schema({"slot": "long", "digests": "binary", "nodes": "binary", "a": "binary", "b": "binary", **_SET})
-    met_kinds, met_schema = _schema({"a": "long", "b": "long", **_SET})
+    told_kinds, told_schema = _schema({"slot": "long", "digests": "binary", "nodes": "binary", **_SET})
+    met_kinds, met_schema = _schema({"a": "long", "b": "long", "digest": "long", **_SET})
 
     def tell(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            digest, node, a, b = combine(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+            digest, node = once(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             slot, rest = digest % _U(slots), digest // _U(slots)
             order = np.argsort(slot, kind="stable")
             slot, rest, node = slot[order], rest[order], node[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(slot)) + 1, [len(slot)]])
             spans = [(int(x), int(y)) for x, y in zip(cut[:-1], cut[1:], strict=True) if y > x]
-            rows = [(int(slot[x]), _six(rest[x:y]), _six(node[x:y]), b"", b"") for x, y in spans]
-            if len(a):  # edges found here pass through a slot of their own choice
-                rows.append((int(a[0] % _U(slots)), b"", b"", _six(a), _six(b)))
+            rows = [(int(slot[x]), _six(rest[x:y]), _six(node[x:y])) for x, y in spans]
             held.clear()
-            return _filled({n: pa.array(c, told_schema.field(n).type) for n, c in zip(("slot", "digests", "nodes", "a", "b"), zip(*rows, strict=True), strict=True)}, told_schema)
+            return _filled({n: pa.array(c, told_schema.field(n).type) for n, c in zip(("slot", "digests", "nodes"), zip(*rows, strict=True), strict=True)}, told_schema)
 
         size = 0
         for part, texts in batches(it):
             own = [shingles(t, words) for t in texts]
             keys = [set_key(s) if len(s) else None for s in own]
             nodes = [k and node_of(k) for k in keys]
+            digest, owner, slack = told_groups(own, percent, common)
             row = part.column(2)
             doc = part.column(0).fill_null(NULL_ID)
             # by document and text: copies share the text's hash
             dealt = _mix(doc.to_numpy().view(_U) * _U(0x9E3779B97F4A7C15) + row.to_numpy().view(_U)) % _U(slots)
-            out = {"slot": dealt.astype(np.int64), "n_shingles": [len(s) for s in own], "key": keys, "node": nodes}
+            out = {"slot": dealt.astype(np.int64), "n_shingles": [len(s) for s in own], "key": keys, "node": nodes, "slack_even": slack[0], "slack_odd": slack[1]}
             out |= {"point": [point(s) if len(s) else None for s in own], "place": [int(_mix(s[:1])[0] >> _U(48)) if len(s) else None for s in own]}
             arrays = {n: pa.array(v, told_schema.field(n).type) for n, v in out.items()}
             yield _filled({**arrays, "doc": doc, "row": row}, told_schema)
-            full = [i for i, k in enumerate(keys) if k]
-            if not full:
+            if not len(digest):
                 continue
-            digest, owner = digests([own[i] for i in full], percent, common)
-            held.append((digest, np.array([nodes[i] for i in full], dtype=_U)[owner]))
+            held.append((digest, np.array([n or 0 for n in nodes], dtype=_U)[owner]))
             size += len(digest)
             if size > GATHER:
                 yield flush()
@@ -259,15 +290,15 @@ def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
             yield flush()
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), dtype=_U)
-            return _filled({n: pa.array(x.astype(np.int64)) for n, x in zip("ab", both, strict=True)}, met_schema)
-
         slot, digest, node = None, [], []
 
-        def done() -> pa.RecordBatch:
-            _, _, a, b = combine(_of_six(b"".join(digest)), _of_six(b"".join(node)))
-            return edges(a, b)
+        def done() -> Iterator[pa.RecordBatch]:
+            rest, nodes = once(_of_six(b"".join(digest)), _of_six(b"".join(node)))
+            pairs, crowded = meetings(rest, nodes)
+            yield _filled({n: pa.array(x.astype(np.int64)) for n, x in zip("ab", pairs, strict=True)}, met_schema)
+            if crowded.any():
+                whole = rest[crowded] * _U(slots) + _U(slot)
+                yield _filled({"digest": pa.array(whole.view(np.int64)), "node": pa.array(nodes[crowded].astype(np.int64))}, met_schema)
 
         for batch in it:
             is_set = batch["n_shingles"].is_valid()
@@ -275,23 +306,55 @@ def sets_and_edges(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame
             if rows.num_rows:
                 yield _filled({n: rows[n] for n in _SET}, met_schema)
             told = batch.filter(pc.invert(is_set))
-            for s, d, n, a, b in zip(*(told[c].to_pylist() for c in ("slot", "digests", "nodes", "a", "b")), strict=True):
+            for s, d, n in zip(*(told[c].to_pylist() for c in ("slot", "digests", "nodes")), strict=True):
                 if s != slot and digest:
-                    yield done()
+                    yield from done()
                     digest, node = [], []
                 slot = s
-                if a:
-                    yield edges(_of_six(a), _of_six(b))
-                if d:
-                    digest.append(d)
-                    node.append(n)
+                digest.append(d)
+                node.append(n)
         if digest:
-            yield done()
+            yield from done()
 
     rows = columns(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
     told = rows.mapInArrow(tell, told_kinds).repartitionById(parts, (F.col("slot") % parts).cast("int")).sortWithinPartitions("slot")
     met = written(told.mapInArrow(meet, met_kinds))
-    return met.where("n_shingles is not null").select(*_SET), written(met.where("a <> b").select("a", "b").distinct())
+    return met.where("n_shingles is not null").select(*_SET), met.where("a is not null").select("a", "b"), met.where("digest is not null").select("digest", "node")
+
+
+def block_edges(reps: DataFrame, pairs: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """a, b: edges between nodes, written and distinct. reps: a row for each class, with node, n_shingles, point and slack."""
+
+    def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield b.select(["a", "b"]).filter(pa.array(reachable(b, percent), pa.bool_()))
+
+    def slim(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b["node"], b["n_shingles"], pa.array([coarse(x) for x in b["point"].to_pylist()], pa.binary())], ["node", "n_shingles", "point"])
+
+    points = written(reps.select("node", "n_shingles", "point").mapInArrow(slim, "node long, n_shingles long, point binary"))
+    met = pairs.distinct()
+    for side in "ab":
+        other = points.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n_shingles", "point")])
+        met = met.join(other.hint("merge"), side)
+    met = met.where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+    close = met.select("a", "b", *[f"{c}_{n}" for c in ("n_shingles", "point") for n in "ab"]).mapInArrow(near, "a long, b long")
+    # Classes whose crowded groups may be all that they share with a linked one.
+    crowded = crowded.withColumn("odd", F.col("digest").bitwiseAND(F.lit(1)) == 1)
+    slack = reps.groupBy("node").agg(F.min("slack_even").alias("slack_even"), F.min("slack_odd").alias("slack_odd"))
+    needy = crowded.groupBy("node", "odd").agg(F.count(F.lit(1)).alias("n")).join(slack.hint("merge"), "node")
+    needy = needy.where(F.col("n") > F.when(F.col("odd"), F.col("slack_odd")).otherwise(F.col("slack_even"))).select("node", "odd")
+    hung = written(crowded.join(needy.hint("merge"), ["node", "odd"]).select("digest", F.col("node").alias("b")))
+    stars = hung.join(hung.groupBy("digest").agg(F.min("b").alias("a")), "digest").where("a < b").select("a", "b")
+    return written(close.unionByName(stars).distinct())
+
+
+def reachable(b: pa.RecordBatch, percent: int) -> list[bool]:
+    """Whether the points of pairs leave enough overlap."""
+    bound = [int(points_of(list(x)).min(axis=0).sum()) for x in zip(b["point_a"].to_pylist(), b["point_b"].to_pylist(), strict=True)]
+    size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
+    return ((100 + percent) * np.array(bound, dtype=np.int64) >= percent * size).tolist()
 
 
 def in_space(points: np.ndarray) -> np.ndarray:
@@ -378,11 +441,13 @@ def survivors(ours: tuple, theirs: tuple, percent: int, best: bool) -> list[tupl
 
 
 def _links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of sets_and_edges, and key, component (the least doc linked), head (a key that linked classes have in common) of classes
+    """The rows of sets_and_meetings, and key, component (the least doc linked), head (a key that linked classes have in common) of classes
     that may be linked with others."""
-    all_sets, edges = sets_and_edges(docs, words, percent)
-    reps = all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in ("node", "n_shingles", "point", "place")])
-    found = written(reps.join(components(edges, clean=True), "node").withColumnRenamed("component", "block"))
+    all_sets, pairs, crowded = sets_and_meetings(docs, words, percent)
+    same = ("node", "n_shingles", "point", "place", "slack_even", "slack_odd")
+    reps = written(all_sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("doc"), *[F.any_value(c).alias(c) for c in same]))
+    edges = block_edges(reps, pairs, crowded, percent)
+    found = written(reps.drop("slack_even", "slack_odd").join(components(edges, clean=True), "node").withColumnRenamed("component", "block"))
     big = (F.count(F.lit(1)) > BLOCK) | (F.sum("n_shingles") > BLOCK_SHINGLES)
     found = written(found.join(found.groupBy("block").agg(F.count(F.lit(1)).alias("n"), big.alias("big")).where("n > 1"), "block"))
     small, parts = found.where("not big"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -457,11 +522,8 @@ def _large(docs: DataFrame, found: DataFrame, edges: DataFrame, words: int, perc
 
     def near(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            bound = [int(points_of(list(x)).min(axis=0).sum()) for x in zip(b["point_a"].to_pylist(), b["point_b"].to_pylist(), strict=True)]
-            size = b["n_shingles_a"].to_numpy() + b["n_shingles_b"].to_numpy()
-            fits = (100 + percent) * np.array(bound, dtype=np.int64) >= percent * size
             sides = [b[c].to_pylist() for c in ("key_a", "key_b")]
-            pairs = [sorted(x) for x, y in zip(zip(*sides, strict=True), fits, strict=True) if y]
+            pairs = [sorted(x) for x, y in zip(zip(*sides, strict=True), reachable(b, percent), strict=True) if y]
             yield pa.RecordBatch.from_arrays([pa.array([p[n] for p in pairs], pa.binary()) for n in (0, 1)], ["a", "b"])
 
     hung = both(edges, found, "node", "key", "point", "n_shingles").select("key_a", "key_b", "point_a", "point_b", "n_shingles_a", "n_shingles_b")

@@ -4,8 +4,10 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import fingerprints, graph, jaccard
+from keyloom.llm.common import written
 
 from .conftest import ODD
 
@@ -59,6 +61,35 @@ def test_large_blocks_lose_nothing(docs, monkeypatch, seed, words, percent, leaf
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, words, percent)
 
 
+@pytest.mark.parametrize(("seed", "words", "percent"), [(6, 3, 90), (7, 5, 80), (8, 2, 80)])
+def test_crowded_digests_lose_nothing(docs, monkeypatch, seed, words, percent):
+    monkeypatch.setattr(jaccard, "CROWD", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    rows = corpus(seed)
+    out = jaccard.classes(docs(rows), words, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, words, percent)
+
+
+def test_shared_passages_dont_make_blocks(docs, monkeypatch):
+    large, real = [], jaccard._large
+    monkeypatch.setattr(jaccard, "BLOCK", 20)
+    monkeypatch.setattr(jaccard, "_large", lambda *a: large.append(1) or real(*a))
+    passage = lambda i: " ".join(f"p{i}w{k}" for k in range(150))
+    rows = [(i, f"{passage(i)} {passage(i + 1)}") for i in range(60)] + [(100 + i, f"{passage(i)} {passage(i + 1)} x") for i in range(0, 60, 7)]
+    out = jaccard.classes(docs(rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in out) == plain_classes(rows, 5, 80)
+    assert not large  # each text shares half with the next: a chain of all
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.name() for x in map(disk.getAllBlocks().apply, range(disk.getAllBlocks().size())) if x.isShuffle()}
+    before = files()
+    table = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before
+    assert table.count() == 7
+
+
 def test_one_row_of_a_class_stays_where_doc_ids_repeat(docs):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(2, text), (2, text + " x"), (2, "other words here now again and again"), (5, "other words here now again and again"), (7, text + " x")]
