@@ -59,6 +59,26 @@ def test_doubled_lines_are_anomalous(spark, docs):
     assert sum(out[i].kept for i, _ in rows if i % 6 == 0) <= 10
 
 
+def test_thresholds_come_from_all_labelled_rows(spark, docs):
+    rnd = random.Random(8)
+    rows = [(i, unique_words(" ".join(rnd.choices("plain words make sense today".split(), k=rnd.randrange(12, 40)))) + "!" * rnd.randrange(4)) for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    table = docs(rows)
+    x = np.array([quality.statistics(t) for _, t in rows])
+    for f, g in zip(quality.fit(table, labels), quality.GROUPS, strict=True):
+        assert f.threshold == np.quantile(f.score(x[:, g]), 1 - quality.SPARE, method="higher")
+
+
+def test_ranks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(quality, "EXACT", 5)
+    monkeypatch.setattr(quality, "BINS", 7)
+    rnd = random.Random(4)
+    values = [rnd.choice([0.5, rnd.random(), 0.5 + rnd.random() / 1e9]) for _ in range(500)]
+    table = spark.createDataFrame([(v,) for v in values], "s double")
+    for k in (0, 1, 166, 250, 333, 498, 499):
+        assert quality.ranked(table, "s", k) == sorted(values)[k]
+
+
 def test_odd_rows_and_no_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = quality.judge(docs(ODD), none).collect()
