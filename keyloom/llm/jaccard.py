@@ -536,7 +536,7 @@ def _large(docs: DataFrame, found: DataFrame, edges: DataFrame, words: int, perc
         more = verified(pairs)
         if not more.isEmpty():
             linked = linked.unionByName(more)
-            joined = written(components(linked))
+            joined = written(components(linked, clean=True))  # new pairs are of different components
     label = found.join(joined.withColumnRenamed("node", "key"), "key", "left").select("key", "doc", F.coalesce("component", "key").alias("head"))
     return label.join(label.groupBy("head").agg(F.min("doc").alias("component")), "head").select("key", "component", "head")
 

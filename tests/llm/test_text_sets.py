@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import fingerprints, graph, jaccard
 from keyloom.llm.common import written
+from keyloom.sources import folders
 
 from .conftest import ODD
 
@@ -170,6 +171,41 @@ def test_components_go_on_while_a_node_has_two_roots(spark):
     assert len(got) == 480 and all(r.component == least[r.node // 100] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch, kind):
+    rnd = random.Random(9)
+    node = {"long": lambda x: x - 200, "binary": lambda x: bytes([x % 7 * 40, x // 7, 0][: 2 + x % 2])}[kind]
+    pairs = {(x, x + 1) for x in range(150)} | {tuple(rnd.sample(range(160, 400), 2)) for _ in range(160)}
+    pairs = {tuple(sorted((node(x), node(y)))) for x, y in pairs if node(x) != node(y)}
+    edges, tables = written(spark.createDataFrame(sorted(pairs), f"a {kind}, b {kind}").repartition(5)), []
+    monkeypatch.setattr(graph, "written", lambda df: tables.append(1) or written(df))
+    few = sorted(map(tuple, graph.components(edges, clean=True).collect()))
+    assert not tables  # each round of stars writes at least two
+    least = {x: x for p in pairs for x in p}
+    for _ in least:
+        for x, y in pairs:
+            least[x] = least[y] = min(least[x], least[y])
+    assert few == sorted(least.items())
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert sorted(map(tuple, graph.components(edges, clean=True).collect())) == few
+    assert tables
+
+
+def test_few_edges_by_stars(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FEW", 0)
+    test_components(spark)
+    test_components_go_on_while_a_node_has_two_roots(spark)
+
+
+def test_a_large_block_takes_few_tables(spark, docs, monkeypatch):
+    """However long the paths of links are: 11 before the leaves, 6 for each of two rounds of them, 2 after."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    pairs, at = corpus(1), folders.made()
+    got = jaccard.classes(docs(pairs), 3, 80)
+    assert folders.made() - at <= 25
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got.collect()) == plain_classes(pairs, 3, 80)
+
+
 def test_sketches():
     rng = np.random.default_rng(7)
     a, b = rng.bytes(6000), rng.bytes(3000)
