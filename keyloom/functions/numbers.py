@@ -44,19 +44,41 @@ def common_suffix_length(a: Column, b: Column) -> Column:
     return F.when(x == 0, F.lit(64)).otherwise(F.bit_count(x.bitwiseAND(-x) - 1)).cast("int")
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def tree_depth(size: Column, path: Column, last: Column) -> Column:
+    """Level of the leaf `path` in a tree with `size` leaves; last: ceil_log2(size)."""
+    half = F.when(last > 0, _bit(last - 1)).otherwise(F.lit(0))
+    return F.when(path.bitwiseOR(half) < size, last).otherwise(last - 1)
+
+
+def tree_node(size: Column, path: Column, last: Column, level: Column) -> Column:
+    """Node on the way to the leaf `path` at a level; see tree_nodes."""
+    half = F.when(last > 0, _bit(last - 1)).otherwise(F.lit(0))
+    missing = F.when((level == last) & (path >= half), _bit(last) - size).otherwise(F.lit(0))
+    return _bit(level) - 1 + path.bitwiseAND(_bit(level) - 1) - missing
+
+
 def tree_nodes(size: Column, path: Column) -> Column:
     """Array of struct(level, node): nodes from the root to the leaf `path` of a tree with `size` leaves, kept level by level.
 
     Level i starts at 2**i - 1 and takes the low i bits of the path. If size is no power of two the last level misses
     2**last - size nodes: paths whose sibling there would be beyond the leaves end one level earlier, and the nodes of
     the second half of the last level move up by the missing ones. All nodes are below 2 * size - 1."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     last = ceil_log2(size)
-    half = F.when(last > 0, bit(last - 1)).otherwise(F.lit(0))
-    depth = F.when(path.bitwiseOR(half) < size, last).otherwise(last - 1)
-    missing = F.when(path >= half, bit(last) - size).otherwise(F.lit(0))
-    node = lambda i: bit(i) - 1 + path.bitwiseAND(bit(i) - 1) - F.when(i == last, missing).otherwise(F.lit(0))
-    return F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(i.alias("level"), node(i).alias("node")))
+    return F.transform(F.sequence(F.lit(0), tree_depth(size, path, last)), lambda i: F.struct(i.alias("level"), tree_node(size, path, last, i).alias("node")))
+
+
+def tree_node_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """keep, level and node of df's size and path columns: tree_nodes with a row for each node.
+
+    A lambda over an array is interpreted, row after row; levels that are exploded first are compiled."""
+    own = df.withColumn("_last", ceil_log2(F.col("size")))
+    size, path, last = F.col("size"), F.col("path"), F.col("_last")
+    rows = own.select("*", F.explode(F.sequence(F.lit(0), tree_depth(size, path, last))).alias("level"))
+    return rows.select(*keep, "level", tree_node(size, path, last, F.col("level")).alias("node"))
 
 
 @F.pandas_udf(StructType([StructField(x, LongType()) for x in LIMBS]))

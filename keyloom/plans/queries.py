@@ -499,8 +499,10 @@ FROM q WHERE level < last OR path >= half OR path + half < size""")
 def tree_path_nodes(s, d):
     parts = table(s, d, "part").select(F.col("p_partkey").alias("key"))
     sizes = [*_TREES, (parts.agg(F.max("key")).first()[0] or 0) + 1]
-    own = parts.select("key", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("size"))
-    return own.select("key", "size", F.inline(N.tree_nodes(F.col("size"), F.col("key") % F.col("size"))))
+    # A part gives dozens of rows, and its table is one or two splits: dealt out first.
+    dealt = parts.repartition(int(s.conf.get("spark.sql.shuffle.partitions")), "key")
+    own = dealt.select("key", F.explode(F.array(*[F.lit(n).cast("long") for n in sizes])).alias("size"))
+    return N.tree_node_rows(own.withColumn("path", F.col("key") % F.col("size")), "key", "size")
 
 
 @query("SELECT l_orderkey AS a, l_partkey AS b, CASE WHEN l_orderkey = l_partkey THEN 64 ELSE CAST(bit_count((xor(l_orderkey, l_partkey) & (-xor(l_orderkey, l_partkey))) - 1) AS INTEGER) END AS suffix FROM lineitem")

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from keyloom.functions import numbers
 from keyloom.plans.queries import QUERIES, SQL
 
 from .oracle import check, connect
@@ -44,3 +46,14 @@ def test_split_two_ways_of_many_suppliers(spark, tmp_path):
     got = QUERIES["split_two_ways"](spark, str(tmp_path)).collect()
     assert sorted(r.key for r in got if r.key is not None) == list(range(1, 3001)) and len(got) == 3000
     assert all(r.key % 2 == r.side for r in got if r.key is not None)
+
+
+def test_tree_paths_are_many_tasks_work(spark, tmp_path):
+    """A part gives dozens of rows: one split of parts may not make them all."""
+    spark.range(3000).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = QUERIES["tree_path_nodes"](spark, str(tmp_path))
+    made = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert len(made) == 4 and max(made) < 0.3 * sum(made)
+    whole = got.where("size = 1000 AND key = 2999").orderBy("level").collect()
+    expected = spark.range(1).select(F.inline(numbers.tree_nodes(F.lit(1000).cast("long"), F.lit(999).cast("long")))).collect()
+    assert [(r.level, r.node) for r in whole] == [(r.level, r.node) for r in expected]
