@@ -93,13 +93,14 @@ def split_final(log: DataFrame, new_last: int, lag: int = FINALITY) -> tuple[Dat
     return log.where(stable), log.where(~stable)
 
 
-def fold(log: DataFrame, amount: Amount = LONG) -> DataFrame:
-    """addr and the net amount of all transfers: debits and credits, summed. Zero sums stay.
+def fold(log: DataFrame, amount: Amount = LONG, *by: str) -> DataFrame:
+    """addr and the net amount of all transfers: debits and credits, summed; for each value of further columns, if any.
+    Zero sums stay.
 
     Both sides of a row come from one pass, and sums combine before the shuffle, so a hot account is no hot task."""
     sides = F.explode(F.array(F.struct(F.col("from_addr").alias("addr"), F.lit(-1).alias("sign")), F.struct(F.col("to_addr").alias("addr"), F.lit(1).alias("sign"))))
-    rows = log.select(sides.alias("s"), *amount.columns)
-    return amount.settle(rows.groupBy(F.col("s.addr").alias("addr")).agg(*[F.sum(F.col("s.sign") * F.col(c)).alias(c) for c in amount.columns]))
+    rows = log.select(sides.alias("s"), *by, *amount.columns)
+    return amount.settle(rows.groupBy(F.col("s.addr").alias("addr"), *by).agg(*[F.sum(F.col("s.sign") * F.col(c)).alias(c) for c in amount.columns]))
 
 
 def total(parts: Sequence[tuple[int, DataFrame]], amount: Amount = LONG) -> DataFrame:

@@ -867,24 +867,25 @@ _PARTS = "z AS (SELECT max(block) AS top FROM t), y AS (SELECT i, top * i // 3 A
 
 
 def _ledger_state(s: SparkSession, d: str) -> LedgerState:
-    """A stream of three micro-batches; each sends the last 20 blocks of the one before again."""
+    """A stream of three micro-batches, started again for each; each sends the last 20 blocks of the one before again."""
     account = lambda c: F.concat(F.lit("0x"), F.lpad(c.cast("string"), 40, "0"))
     log = table(s, d, "orders").select(
         F.expr("o_orderkey div 8").alias("block"), (F.col("o_orderkey") % 8).cast("long").alias("log_idx"),
         account(F.col("o_custkey")).alias("from_addr"), account(F.col("o_orderkey") % 97 + 1_000_000).alias("to_addr"), F.round(F.col("o_totalprice") * 100).cast("long").alias("amount"),
     )
     schema = "block bigint, log_idx bigint, from_addr string, to_addr string, amount bigint, ord bigint"
-    top, folder, state = log.agg(F.max("block")).first()[0] or 0, work_folder(s), LedgerState(s, work_folder(s))
+    top, folder, marks, state = log.agg(F.max("block")).first()[0] or 0, work_folder(s), work_folder(s), LedgerState(s, work_folder(s))
     before = -1
     for i in (1, 2, 3):
         upto = top * i // 3
         part = log.where((F.col("block") <= upto) & (F.col("block") > max(before - 20, -1)))
         closing = s.createDataFrame([(upto, 9_999_999, "0x0", "0x0", 0)], "block bigint, log_idx bigint, from_addr string, to_addr string, amount bigint")
-        # ord: by append, then place
-        part.unionByName(closing).withColumn("ord", F.lit(i << 56) + F.col("block") * 10_000_000 + F.col("log_idx")).coalesce(1).write.mode("append").parquet(folder)
+        # ord: by append, then place. As many files as the part's size asks for: what is in one file is one task's.
+        own = part.unionByName(closing).withColumn("ord", F.lit(i << 56) + F.col("block") * 10_000_000 + F.col("log_idx"))
+        own.repartition("block").write.mode("append").parquet(folder)
+        # The stream goes on from its checkpoint: all files of the part are one micro-batch.
+        run_ledger(s.readStream.schema(schema).parquet(folder), state, marks, every=None).awaitTermination()
         before = upto
-    stream = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    run_ledger(stream, state, work_folder(s), every=None).awaitTermination()
     return state
 
 

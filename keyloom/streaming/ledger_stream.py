@@ -59,8 +59,10 @@ class LedgerState:
             if last is None or last.block < was["last_block"]:
                 return False
             kept = ledger.dedup_last_wins(ledger.normalized(rows))
-            stable, unstable = ledger.split_final(kept, last.block, self.lag)
-            delta, new_unstable, old_unstable = (d.where(~amount.zero()).persist() for d in (ledger.fold(stable, amount), ledger.fold(unstable, amount), store.table("unstable")))
+            # Both parts from one pass over the log.
+            both = ledger.fold(kept.withColumn("_stable", F.col("block") <= last.block - self.lag), amount, "_stable").where(~amount.zero()).persist()
+            delta, new_unstable = (both.where(x).drop("_stable") for x in ("_stable", "not _stable"))
+            old_unstable = store.table("unstable").where(~amount.zero()).persist()
             touched = delta.select("addr").union(new_unstable.select("addr")).union(old_unstable.select("addr")).distinct()
             before = store.keyed(touched).df.join(touched, "addr", "left_semi").persist()
             after = ledger.total([(1, before), (1, delta)], amount).join(delta.select("addr"), "addr", "left_semi")
@@ -73,7 +75,7 @@ class LedgerState:
                 {"unstable": new_unstable, "changes": ledger.changes(*served, amount)},
                 last_block=last.block, last_idx=last.log_idx, records=was["records"] + grown, late=was["late"] + late, batch=batch,
             )
-            for df in (delta, new_unstable, old_unstable, before, after):
+            for df in (both, old_unstable, before, after):
                 df.unpersist()
         finally:
             log.unpersist()

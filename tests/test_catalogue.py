@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import numbers
+from keyloom.plans import queries
 from keyloom.plans.queries import QUERIES, SQL
 
 from .oracle import check, connect
@@ -57,3 +58,20 @@ def test_tree_paths_are_many_tasks_work(spark, tmp_path):
     whole = got.where("size = 1000 AND key = 2999").orderBy("level").collect()
     expected = spark.range(1).select(F.inline(numbers.tree_nodes(F.lit(1000).cast("long"), F.lit(999).cast("long")))).collect()
     assert [(r.level, r.node) for r in whole] == [(r.level, r.node) for r in expected]
+
+
+def test_a_micro_batch_is_many_tasks_work(spark, monkeypatch):
+    """What is in one file is one task's: a part of the log is several files, and still one micro-batch."""
+    seen, apply = [], queries.LedgerState.apply
+
+    def counted(state, log, batch):
+        seen.append((batch, log.select(F.input_file_name()).distinct().count()))
+        return apply(state, log, batch)
+
+    monkeypatch.setattr(queries.LedgerState, "apply", counted)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        queries._ledger_state(spark, SF)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [batch for batch, _ in seen] == [0, 1, 2] and min(n for _, n in seen) > 1
